@@ -1,0 +1,375 @@
+"""Each operator against a plain restatement of its contract."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+from math import isclose, log10
+
+import numpy as np
+import pytest
+import xxhash
+
+from prismgrid.llm import brown, classifier, decontam, quality_rules, secrets, simhash, suffixdedup, tokens, urlfilter
+from prismgrid.storage import materialize
+
+from .data import SCHEMA, collected, empty, frame, rows
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def test_url_filters(spark):
+    urls = [None, "", "no scheme", "http://a.COM/x", "http://com", "http://com/", "https://example.com/en/1?q=1", "https://WWW.example.com/en/1#f", "https://m.www.example.com/en/", "http://xexample.com/en/1", "http://a.net/fr/", "http://a.net/fr", "http://a.net/EN/../fr/", "http://b.org/login", "http://b.org/logins", "http://b.org/x.exe", "ftp://q?x://y/z", "http://a.net/es/?u=http://c.com/", "http://doubleclick.net/a", "http://a\nb.com/\n/en/", "http://b.org/?sessionid=4"]
+    data = [(i if i != 3 else None, u, "h", 1, "r") for i, u in enumerate([*urls, *urls])]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, row int, host string").repartition(3)
+
+    def judged(u):
+        u = u or ""
+        host, path = "", ""
+        if "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+            path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = host.translate(ASCII_LOWER)
+        fit = [r for r in urlfilter.SITE_RULES if host and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fit, key=lambda r: len(r.name), default=None)
+        more = [r for r in urlfilter.PATTERN_RULES if host and re.search(r.regex, u.lower())]
+        verdict = best.action if best else more[0].action if more else "block" if not host else "allow"
+        return host, path, best.name if best else None, verdict
+
+    expected = sorted(((d[0], *judged(d[1])) for d in data), key=repr)
+    assert collected(urlfilter.judge(pages), "page_id", "host", "path", "rule", "verdict") == expected
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+    index = {r[4]: r[0] for r in urlfilter.compile_rules(urlfilter.SITE_RULES + urlfilter.PATTERN_RULES)}
+    assert index["net/es/"] == "es" and index["net/fr/"] == "fr" and index["sessionid="] is None
+
+
+def test_brown_lm(spark):
+    docs, data = frame(spark), rows()
+    train = [d for d in data if d[0] is None or zlib.crc32(str(d[0]).encode()) % 7 != 2]
+    split = lambda t: [w.translate(ASCII_LOWER) for w in WORD.findall(t or "")] + ["\n"]
+    counts = Counter(w for d in train for w in split(d[1]))
+    total, distinct = sum(counts.values()), len(counts)
+    found = brown.score(docs).collect()
+    assert len(found) == len(data)
+    by = defaultdict(list)
+    for r in found:
+        by[r["doc_id"]].append(r)
+    for d in data:
+        w = split(d[1])
+        base = sum(log10((counts[x] + 1) / (total + distinct + 1)) for x in w)
+        mine = [r for r in by[d[0]] if r["n_tokens"] == len(w) and isclose(r["base_score"], base, abs_tol=1e-6)]
+        assert mine, d
+        assert mine[0]["n_known"] == sum(counts[x] > 0 for x in w) and mine[0]["train_tokens"] == total
+        assert mine[0]["held_out"] == (d[0] is not None and zlib.crc32(str(d[0]).encode()) % 7 == 2)
+    assert brown.score(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("head", [brown.HEAD, 40])
+def test_brown_score_is_the_models_probability(spark, head):
+    """Summed by hand over tokens, whichever words travel by broadcast, and proper: all next tokens sum to one."""
+    sizes = {"head_size": head, "words": 20, "endings": 10, "classes": 8}
+    docs = materialize(frame(spark), "t")
+    from pyspark.sql import functions as F
+
+    train = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True)))
+    model, counts = brown.fit(train, **sizes)
+    n = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    types = lambda w: model.types.known.get(w, 20 + brown.ending(w, 10))
+    total = defaultdict(float)
+    for w, c in n.items():
+        total[model.label[types(w)]] += 10 ** (log10(c) - model.whole[model.label[types(w)]])
+    for c in range(8):
+        assert isclose(total[c] + 10 ** (model.unseen[c] - model.whole[c]), 1, rel_tol=1e-9)
+    assert np.allclose((10**model.step).sum(axis=1), 1)
+    texts = {}
+    for d in rows():
+        texts.setdefault(d[0], set()).add(d[1])
+    for r in [x for x in brown.score(docs, **sizes).collect() if len(texts[x["doc_id"]]) == 1]:
+        w = (next(iter(texts[r["doc_id"]])) or "").encode().lower().split() + [b"\n"]
+        c = [model.label[30], *(model.label[types(x)] for x in w)]
+        by_hand = sum(model.step[a, b] + (log10(n[x]) if x in n else model.unseen[b]) - model.whole[b] for a, b, x in zip(c, c[1:], w, strict=False))
+        assert isclose(r["score"], by_hand, abs_tol=1e-6)
+
+
+def test_exchange_never_lowers_the_likelihood():
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 4, (40, 40)) + 30 * (np.arange(40)[:, None] % 3 == (np.arange(40)[None, :] + 1) % 3)
+
+    def likelihood(label, k=6):
+        one = np.eye(k)[label]
+        grid = one.T @ pairs @ one
+        return brown._xlogx(grid).sum() - brown._xlogx(grid.sum(axis=0)).sum() - brown._xlogx(grid.sum(axis=1)).sum()
+
+    values = [likelihood(brown.exchange(pairs, 6, r)) for r in range(5)]
+    assert all(b >= a - 1e-6 for a, b in zip(values, values[1:], strict=False)) and values[-1] > values[0]
+
+
+def _removed(texts, length):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        left = bytes(b for b, g in zip(d, gone, strict=True) if not g)
+        out.append((len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("length", "gram", "group", "chunk"), [(400, 128, 20_000, 1 << 20), (60, 16, 3, 500), (60, 16, 20_000, 2000), (40, 8, 2, 1 << 20)])
+def test_suffix_dedup(spark, length, gram, group, chunk):
+    data = rows()
+    expected = sorted(((d[0], *x) for d, x in zip(data, _removed([d[1] for d in data], length), strict=True)), key=repr)
+    found = suffixdedup.dedup(frame(spark), length, gram, group, chunk)
+    assert collected(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+    assert any(0 < x[2] < x[1] for x in expected)
+    if length == 60:
+        assert suffixdedup.dedup(empty(spark), length, gram).count() == 0
+
+
+def test_two_stage_sorts():
+    rng = np.random.default_rng(1)
+    for alphabet in (1, 2, 5, 250):
+        for n in (1, 2, 30, 400):
+            t = bytes(rng.integers(0, alphabet, n).astype(np.uint8))
+            assert suffixdedup.two_stage(t, n) == sorted(range(n), key=lambda i: t[i:])
+            assert [t[i : i + 3] for i in suffixdedup.two_stage(t, 3)] == sorted(t[i : i + 3] for i in range(n))
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    t = bytes(rng.integers(97, 100, 5000).astype(np.uint8))
+    whole = suffixdedup.anchors(t, 60, 16)
+    monkeypatch.setattr(suffixdedup, "_STRIDE", 700)
+    assert suffixdedup.anchors(t, 60, 16) == whole
+    places = set(whole[0])
+    assert all(any(p in places for p in range(s, s + 45)) for s in range(len(t) - 59))
+
+
+def test_secret_scans(spark):
+    patterns = {
+        "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+        "access": (r"AKIA[A-Z0-9]+", 0, 20),
+        "hex": (r"[0-9a-f]+", 0, 24),
+    }
+
+    def spans(t):
+        out = []
+        for i, (kind, (p, group, least)) in enumerate(patterns.items()):
+            out += [(m.start(), i, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(p, t or "", re.ASCII) if len(m[group]) >= least]
+        return [x[2] for x in sorted(out)]
+
+    found = secrets.scan(frame(spark))
+    expected = sorted(((d[0], hashlib.sha256(",".join(spans(d[1])).encode()).hexdigest(), *(sum(s.startswith(k) for s in spans(d[1])) for k in patterns)) for d in rows()), key=repr)
+    assert collected(found, "doc_id", "base_sha256", "n_assign", "n_access", "n_hex") == expected
+    assert sum(x[2] for x in expected) >= 3 and sum(x[3] for x in expected) >= 2 and sum(x[4] for x in expected) >= 1
+    assert secrets.scan(empty(spark)).count() == 0
+    clean = secrets.redact(frame(spark))
+    assert clean.columns == frame(spark).columns
+    for r in clean.collect():
+        assert not spans(r["text"]) or r["text"].count("[SECRET]")
+        assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+
+
+def test_trigram_queries_hold_for_every_match():
+    assert secrets.trigram_query(secrets.BASE[2]) is True
+    assert secrets.trigram_query(secrets.BASE[1]) == ("and", frozenset({"AKI", "KIA"}))
+
+    def holds(q, t):
+        return q is True or (q in t if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, t) for x in q[1]))
+
+    samples = {"assign": ["PassWord : 'abcdefg", "api_key=xxxxxx", "APIKEY=xxxxxx", "secret\"='aaaaaaaa", "passwd:zzzzzz", "tOKen=qwerty"], "access": ["AKIA" + "A" * 16], "pem": ["-----BEGIN RSA PRIVATE KEY-----"], "github": ["ghp_" + "a" * 36], "slack": ["xoxb-0123456789"], "google": ["AIza" + "b" * 35], "jwt": ["eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8], "hex": ["0" * 24]}
+    for r in secrets.RULES:
+        q = secrets.trigram_query(r)
+        for s in samples[r.kind]:
+            assert re.search(r.regex, s) and holds(q, s.lower() if r.any_case else s), (r.kind, q)
+        assert q is True or not holds(q, "nothing to see")
+
+
+def test_quality_classifier(spark, small_dir):
+    docs, labels = spark.read.parquet(f"{small_dir}/../sf0.01/documents.parquet"), spark.read.parquet(f"{small_dir}/../sf0.01/labels.parquet")
+    found = classifier.judge(docs, labels)
+    known = found.join(labels, "doc_id").where("held_out").collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in known)
+    assert sum(r["predicted"] == r["quality"] for r in known) >= 0.9 * len(known)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found.collect())
+    odd = classifier.judge(frame(spark), spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int"))
+    assert odd.count() == len(rows())
+    assert {r["score"] for r in classifier.judge(frame(spark), labels.limit(0)).collect()} == {1.0}
+    assert classifier.judge(empty(spark), labels).count() == 0
+
+
+def test_classifier_features_are_each_texts_own():
+    texts = [b"one two two", b"", b"x", b"a b", "né Né\n\tab".encode()]
+    together, alone = classifier.vectors_of(texts), [classifier.vectors_of([t])[0] for t in texts]
+    for (a, b), (c, d) in zip(together, alone, strict=True):
+        assert np.array_equal(a, c) and np.allclose(b, d)
+    model = classifier.Model(np.random.default_rng(1).normal(size=1 << classifier.BITS).astype(np.float32), 0.3)
+    by_hand = [1 / (1 + np.exp(-(float(model.table[a] @ s) + 0.3))) for a, s in together]
+    assert np.allclose(model.scores(texts), by_hand, atol=1e-6)
+
+
+def _fingerprint(t):
+    w = [x.translate(ASCII_LOWER) for x in WORD.findall(t or "")]
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(fps, radius=2):
+    label = list(range(len(fps)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(fps):
+            for j, b in enumerate(fps):
+                if (a ^ b).bit_count() <= radius and label[j] < label[i]:
+                    label[i], changed = label[j], True
+    return label
+
+
+def test_simhash(spark):
+    data = rows()
+    fps = [_fingerprint(d[1]) for d in data]
+    label = _components(fps)
+    least = {x: min((d[0] for d, y in zip(data, label, strict=True) if x == y and d[0] is not None), default=None) for x in label}
+    expected = sorted(((d[0], f"{f:016x}", least[x]) for d, f, x in zip(data, fps, label, strict=True)), key=repr)
+    assert collected(simhash.judge(frame(spark)), "doc_id", "fingerprint", "component_id") == expected
+    assert simhash.judge(empty(spark)).count() == 0
+    kept = simhash.drop_near_copies(frame(spark))
+    assert kept.columns == frame(spark).columns and kept.count() == len(set(label))
+    assert simhash.drop_near_copies(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [2, 4096])
+def test_simhash_links_are_whole(spark, bucket):
+    rng = np.random.default_rng(3)
+    centres = [int(x) for x in rng.integers(0, 1 << 63, 6)]
+    fps = {c ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(d)) for c in centres for a, b, d in rng.integers(0, 64, (30, 3))} | {0, 1, (1 << 64) - 1}
+    fps = sorted(fps)
+    label = _components(fps)
+    df = spark.createDataFrame([(simhash._signed(f), i) for i, f in enumerate(fps)], "fp long, i long")
+    from pyspark.sql import functions as F
+
+    found = {r["fp"]: r["least"] for r in simhash.groups(df, F.min("i"), 2, bucket).collect()}
+    assert [found[simhash._signed(f)] for f in fps] == label
+    values = np.array(fps, np.uint64)
+    assert simhash.components_of(values, 2, 7).tolist() == label
+
+
+def _library(text):
+    t = tokens.piece_table(tokens.tokenizer_path("byte_bpe_50k.json")).tokenizer
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_packing(spark):
+    data = rows()
+    pieces = tokens.pack(frame(spark), with_ids=True).collect()
+    found = defaultdict(list)
+    for p in pieces:
+        assert 0 < p["length"] <= 1024 - p["offset"] and zlib.crc32(bytes(p["ids"])) == p["ids_crc32"]
+        found[p["sequence_id"]].append(p)
+    used = []
+    for s in sorted(found):
+        at = 0
+        for p in sorted(found[s], key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        used.append(at)
+    assert sorted(found) == list(range(len(found))) and all(n == 1024 for n in used[:-1])
+    line = [p for s in sorted(found) for p in sorted(found[s], key=lambda p: p["offset"])]
+    docs, now = [], []
+    for p in line:
+        assert p["start"] == sum(len(x) for x in now) // 4
+        now.append(bytes(p["ids"]))
+        if p["start"] + p["length"] == p["doc_tokens"]:
+            docs.append((p["doc_id"], np.frombuffer(b"".join(now), "<u4").tolist()))
+            now = []
+    assert not now and sorted(docs, key=repr) == sorted(((d[0], [*_library(d[1]), 0]) for d in data), key=repr)
+    assert tokens.pack(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts(spark, name):
+    def count(t):
+        path = tokens.tokenizer_path(name)
+        return len(tokens.sentence_pieces(path).encode(t or "") if name.endswith(".model") else tokens.piece_table(path).tokenizer.encode(t or "", add_special_tokens=False).ids)
+
+    expected = sorted(((d[0], len((d[1] or "").encode()), count(d[1]), count(d[1]) > 512) for d in rows()), key=repr)
+    assert collected(tokens.token_counts(frame(spark), name), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
+    assert tokens.token_counts(empty(spark), name).count() == 0
+
+
+def test_quality_rules(spark):
+    def stats(t):
+        t = t or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        twice = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
+        n = len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(twice)
+        return (*n, n[0] < 10 or 100 * n[4] > 20 * n[0])
+
+    found = quality_rules.judge(frame(spark))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert collected(found, *columns) == sorted(((d[0], *stats(d[1])) for d in rows()), key=repr)
+    assert not [r for r in found.collect() if r["base_failed"] and r["kept"]] and found.where("kept").count() > 20
+    assert quality_rules.judge(empty(spark)).count() == 0
+
+
+def test_quality_sketches_merge_and_are_accurate(spark):
+    from pyspark.sql import functions as F
+
+    counted = materialize(quality_rules.counts(frame(spark)), "t")
+    whole = quality_rules.sketch(counted)
+    halves = quality_rules.sketch(counted.where("k % 2 = 0")).unionByName(quality_rules.sketch(counted.where("k % 2 != 0 or k is null")))
+    merged = halves.groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
+    columns = ["lang", "source", "measure", "bucket", "n"]
+    assert collected(whole, *columns) == collected(merged, *columns)
+    q = {(r["lang"], r["source"]): r["q"] for r in quality_rules.quantiles(whole, {"q": 0.5}).where("measure = 'word_length'").collect()}
+    by = defaultdict(list)
+    for r in counted.where("n_words > 0").collect():
+        by[r["lang"], r["source"]].append(r["word_chars"] / r["n_words"])
+    for group, values in by.items():
+        exact = sorted(values)[-(-len(values) // 2) - 1]
+        assert abs(q[group] - exact) <= 0.011 * exact
+
+
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 400])
+def test_decontamination(spark, block_bytes):
+    texts = [d[1] for d in rows()]
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII_LOWER))
+    long = texts[2].split()
+    items = [(1, " ".join(long[:20]).upper()), (10, ", ".join(long[5:30])), (2, texts[1]), (3, "two words"), (4, ""), (5, None), (None, "tail1"), (6, "x"), (6, "one"), (7, "ab ab ab ab"), (8, "nowhere at all")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    windows = defaultdict(set)
+    for i, (_, t) in enumerate(items):
+        w = split(t)
+        size = min(13, len(w))
+        for k in range(len(w) - size + 1 if size else 0):
+            windows[tuple(w[k : k + size])].add(i)
+
+    def judged(t):
+        w, hit, names = split(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for i in range(len(w) - size + 1):
+                if (x := tuple(w[i : i + size])) in windows:
+                    hit |= set(range(i, i + size))
+                    names |= {str(items[k][0]) for k in windows[x] if items[k][0] is not None}
+        return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+    expected = sorted(((d[0], *judged(d[1])) for d in rows()), key=repr)
+    found = decontam.judge(frame(spark), benchmark, block_bytes=block_bytes)
+    assert collected(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected
+    assert sum(x[-1] for x in expected) > 4
+    kept = decontam.decontaminate(frame(spark), benchmark, block_bytes=block_bytes)
+    assert kept.columns == frame(spark).columns
+    assert collected(kept, "doc_id", "text") == sorted(((d[0], d[1]) for d in rows() if not judged(d[1])[-1]), key=repr)
+    assert decontam.judge(frame(spark), benchmark.limit(0)).where("contaminated").count() == 0
+    assert decontam.judge(empty(spark), benchmark).count() == 0
