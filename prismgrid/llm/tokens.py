@@ -11,6 +11,7 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,17 +20,20 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm.common import text_string
 from prismgrid.storage import materialize
 
-#: The pre-token pattern of the public byte-level vocabulary.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Ranges whose character classes are the same in every Unicode version; any other character takes the library's own path.
-SETTLED = r"\t\n\r\x20-\x7e\xa1-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e"
+#: Ranges whose letters, digits and white space are the same in every Unicode version; a text with any other
+#: character takes the library's own path.
+LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u048a-\u04ff"
+DIGITS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+SPACES = r"\t\n\r\x20"
+SETTLED = SPACES + r"\x21-\x7e\xa1-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e"
+#: The public vocabulary's pre-token pattern, over the settled ranges.
+PRE_TOKEN = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Pre-tokens remembered by a worker before the dictionary starts anew.
 MAX_ENTRIES = 400_000
 
@@ -38,7 +42,7 @@ def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies, from the published rule."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return dict(sorted(({b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}).items()))
 
 
 class PieceTable:
@@ -52,19 +56,20 @@ class PieceTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.split = regex.compile(PRE_TOKEN).findall
-        self.odd = regex.compile(f"[^{SETTLED}]").search
-        self.letters = _byte_letters()
+        self.split = re.compile(PRE_TOKEN).findall
+        self.odd = re.compile(f"[^{SETTLED}]").search
+        self.letters = list(_byte_letters().values())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.counts: dict[str, int] = {}
         self.packed: dict[str, bytes] = {}
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = "<u2" if (size := self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
+        self.bytes = [i.to_bytes(int(self.width[-1]), "little") for i in range(size)]
 
     def fast(self, text: str) -> bool:
         return not self.odd(text) and not any(s in text for s in self.special)
 
     def _pieces(self, token: str) -> list[int]:
-        shown = "".join(map(self.letters.__getitem__, token.encode()))
+        shown = token if token.isascii() and token.isalnum() else "".join(map(self.letters.__getitem__, token.encode()))
         return [t.id for t in self.model.tokenize(shown)]
 
     def count(self, text: str) -> int:
@@ -84,7 +89,7 @@ class PieceTable:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
         known, tokens = self.packed, self.split(text)
         for token in {t for t in tokens if t not in known}:
-            known[token] = np.array(self._pieces(token), self.width).tobytes()
+            known[token] = b"".join([self.bytes[i] for i in self._pieces(token)])
         out = b"".join(map(known.__getitem__, tokens))
         if len(known) > MAX_ENTRIES:
             known.clear()

@@ -268,6 +268,16 @@ def _library(text):
     return t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_pre_tokens_agree_with_the_library_on_every_settled_character():
+    table = tokens.piece_table(tokens.tokenizer_path("byte_bpe_50k.json"))
+    settled = [c for c in map(chr, range(0x2070)) if not table.odd(c)]
+    assert len(settled) > 800
+    for c in settled:
+        t = f"ab{c}cd {c}{c} 1{c}2 {c}\n{c} '{c}s 's{c}"
+        ids = table.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(table.ids(t), table.width).tolist() == ids and table.count(t) == len(ids), c
+
+
 def test_packing(spark):
     data = rows()
     pieces = tokens.pack(frame(spark), with_ids=True).collect()
