@@ -26,6 +26,8 @@ from prismgrid.llm.common import crc_mod, in_fold, text_bytes
 BITS = 16
 DIMENSIONS = 8
 CHAR_GRAMS = (2, 3, 4)
+#: Kinds of features: the character n-grams, words and word pairs. Each has the same weight in a document's average.
+KINDS = len(CHAR_GRAMS) + 2
 THRESHOLD = 0.7
 MAX_TRAIN = 3000
 _ODD = 0x9E3779B1
@@ -69,13 +71,14 @@ def _features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 def vectors_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct table places and their shares."""
+    """Each text's distinct table places and their shares, in few bytes: training rows travel to the driver."""
     found = list(_features(texts))
     out = []
     for i in range(len(texts)):
-        slots = np.concatenate([places[a[i] : b[i]] for places, a, b in found]) if texts[i] else np.zeros(0, np.uint32)
-        at, n = np.unique(slots, return_counts=True)
-        out.append((at.astype(np.int32), (n / max(1, len(slots))).astype(np.float32)))
+        parts = [places[a[i] : b[i]] for places, a, b in found]
+        slots, back = np.unique(np.concatenate(parts), return_inverse=True)
+        each = np.concatenate([np.full(len(x), 1 / (len(parts) * max(1, len(x)))) for x in parts])
+        out.append((slots.astype(np.uint16), np.bincount(back, each, len(slots)).astype(np.float16)))
     return out
 
 
@@ -88,15 +91,14 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not self.known:
             return np.ones(len(texts))
-        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        total = np.zeros(len(texts))
         for places, a, b in _features(texts):
             upto = np.concatenate([[0.0], np.cumsum(self.table[places], dtype=np.float64)])
-            total += upto[b] - upto[a]
-            n += b - a
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(1, n) + self.bias, -500, 500)))
+            total += (upto[b] - upto[a]) / np.maximum(1, b - a)
+        return 1 / (1 + np.exp(-np.clip(total / KINDS + self.bias, -500, 500)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: float = 1.0, seed: int = 7) -> Model:
     """Softmax over averaged embeddings; steps are scaled by each parameter's past gradients."""
     if not rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, False)
@@ -107,6 +109,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, share, label = rows[i]
+            at, share = at.astype(np.int64), share.astype(np.float32)
             mean = share @ E[at] if len(at) else np.zeros(DIMENSIONS, np.float32)
             z = mean @ W + b
             p = np.exp(z - z.max())
@@ -142,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, key: str
 
     made = rows.select(F.col("k").cast("string").alias("k"), "y", "t").mapInArrow(run, "k string, y int, at binary, share binary").collect()
     made.sort(key=lambda r: (r["k"], bytes(r["at"]), bytes(r["share"])))
-    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32), int(r["y"] > 0)) for r in made])
+    return train([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float16), int(r["y"] > 0)) for r in made])
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 4, held_out: int = 2) -> DataFrame:
