@@ -40,7 +40,7 @@ from prismgrid.storage import materialize
 LENGTH = 400
 GRAM = 128
 #: Contexts of one anchor that one task takes.
-GROUP = 20_000
+GROUP = 4000
 #: Bytes of texts whose suffixes are sorted at once.
 CHUNK = 1 << 20
 #: A family this narrow goes to the suffix array.
@@ -333,26 +333,21 @@ def matches(whole: DataFrame, places: DataFrame, length: int = LENGTH, gram: int
     several = materialize(several, "dedup-anchors")
     reps = stats.join(_small(several.select("a", "n"), F.lit(16)), "a").select("a", "sh", "weight", F.col("rep.row").alias("row"), F.col("rep.place").alias("place"), "n")
     reps = materialize(reps, "dedup-reps")
-    large = several.where(F.col("n") > group).select("a")
-    contexts = _contexts(whole, reps, length, gram)
-    if large.isEmpty():
-        ready = contexts
-    else:
-        contexts = materialize(contexts, "dedup-large")
-        ready = contexts.join(large, "a", "left_anti").select(contexts.columns)
-        left = contexts.join(large, "a", "left_semi").select(contexts.columns)
-        while True:
-            dealt = materialize(left.mapInArrow(_deal(length), "key long, low int, high int, a long, sh long, left int, weight long, data binary, same long"), "dedup-dealt")
-            keys = ["key", "low", "high"]
-            by = dealt.groupBy(*keys, "same").agg(F.sum("weight").alias("weight"))
-            out = out.unionByName(dealt.drop("weight").join(by.where("weight > 1"), [*keys, "same"]).select("a", "sh", F.greatest(F.col("low"), -F.col("left")).alias("low"), (F.col("high") + length).alias("high")))
-            sizes = materialize(by.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(F.col("weight") == 1, 1)).alias("single")).where("n > 1 and single > 0"), "dedup-sizes")
-            first = dealt.groupBy(*keys, "same").agg(F.min(F.struct("a", "sh", "left", "weight", "data")).alias("x"), F.sum("weight").alias("all"))
-            first = first.select(*keys, "x.a", "x.sh", "x.left", F.col("all").alias("weight"), "x.data")
-            ready = ready.unionByName(first.join(sizes.where(F.col("n") <= group).select(*keys), keys).select(contexts.columns))
-            if sizes.where(F.col("n") > group).isEmpty():
-                break
-            left = first.join(sizes.where(F.col("n") > group).select(*keys), keys).select(contexts.columns)
+    ready = _contexts(whole, reps.where(F.col("n") <= group), length, gram)
+    large, keys, columns = reps.where(F.col("n") > group), ["key", "low", "high"], ready.columns
+    left = None if large.isEmpty() else materialize(_contexts(whole, large, length, gram), "dedup-large")  # else two Python workers would share a task
+    while left is not None:
+        dealt = materialize(left.mapInArrow(_deal(length), "key long, low int, high int, a long, sh long, left int, weight long, data binary, same long"), "dedup-dealt")
+        by = materialize(dealt.groupBy(*keys, "same").agg(F.sum("weight").alias("weight")), "dedup-families")
+        whole_match = dealt.drop("weight", "data").join(by.where("weight > 1"), [*keys, "same"])
+        out = out.unionByName(whole_match.select("a", "sh", F.greatest(F.col("low"), -F.col("left")).alias("low"), (F.col("high") + length).alias("high")))
+        open_ = by.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(F.col("weight") == 1, 1)).alias("single")).where("n > 1 and single > 0")
+        open_ = materialize(open_.drop("single"), "dedup-open")
+        undecided = dealt.join(_small(open_, F.lit(24)), keys)  # before any bytes are shuffled
+        first = undecided.groupBy(*keys, "same").agg(F.min(F.struct("a", "sh", "left", "data")).alias("x"), F.sum("weight").alias("weight"), F.max("n").alias("n"))
+        first = materialize(first.select(*keys, "x.a", "x.sh", "x.left", "weight", "x.data", "n"), "dedup-first")
+        ready = ready.unionByName(first.where(F.col("n") <= group).select(columns))
+        left = None if first.where(F.col("n") > group).isEmpty() else first.where(F.col("n") > group).select(columns)
     found = ready.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_match(length, chunk), "a long, sh long, low int, high int")
     return out.unionByName(found)
 
