@@ -42,7 +42,7 @@ GRAM = 128
 #: Contexts of one anchor that one task takes.
 GROUP = 4000
 #: Bytes of texts whose suffixes are sorted at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: A family this narrow goes to the suffix array.
 NARROW = 48
 #: Rows, and bytes, that may be broadcast.
