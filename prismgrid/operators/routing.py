@@ -44,3 +44,8 @@ def client_says_video(uploads: DataFrame) -> DataFrame:
 def listing(files: DataFrame, suffixes: tuple[str, ...], path: str = "path") -> DataFrame:
     """The files with one of the suffixes, whatever their case."""
     return files.where(has_suffix(F.col(path), suffixes))
+
+
+def nonempty(requests: DataFrame, files: str = "files") -> DataFrame:
+    """Requests that hold at least one file; the others do nothing."""
+    return requests.where(F.size(files) > 0)

@@ -76,4 +76,43 @@ def cancel(log: DataFrame, requests: DataFrame, job: str = "job_id") -> DataFram
 
 
 def elapsed_minutes(start: Column, end: Column) -> Column:
-    return F.format_number((end - start) / 60, 1)
+    """Minutes between two epoch seconds, with one decimal."""
+    return F.format_string("%.1f", (end - start) / 60)
+
+
+#: What a full run writes, in order: (write class, status, step, progress).
+RUN = (
+    ("G", "Processing", "Initializing", 0),
+    ("G", "Processing", "Video Processing", 5),
+    ("G", "Processing", "Masking", 20),
+    ("U", "Processing", "Feature Extraction", 10),
+    ("U", "Processing", "Matching", 25),
+    ("U", "Processing", "Sparse Reconstruction", 40),
+    ("U", "Processing", "Undistorting", 60),
+    ("U", "Processing", "Depth Maps", 75),
+    ("U", "Processing", "Point Fusion", 90),
+    ("U", "Processing", "Fallback", 95),
+    ("U", "Processing", "Completed", 100),
+    ("G", "Processing", "Meshing", 85),
+    ("G", "Completed", "Completed", 100),
+)
+
+
+def emitted(jobs: DataFrame) -> DataFrame:
+    """The writes of a full run of each job (job_id, database, sparse, dense_empty): stages whose artifact exists are
+    silent, and the fallback speaks only where the dense cloud is empty."""
+    each = F.array(*(F.struct(F.lit(c).alias("cls"), F.lit(s).alias("status"), F.lit(step).alias("step"), F.lit(p).alias("progress")) for c, s, step, p in RUN))
+    rows = jobs.select("*", F.posexplode(each).alias("place", "w")).select(*jobs.columns, "place", "w.*")
+    silent = ((F.col("step") == "Feature Extraction") & F.col("database")) | ((F.col("step") == "Sparse Reconstruction") & F.col("sparse")) | ((F.col("step") == "Fallback") & ~F.col("dense_empty"))
+    order = Window.partitionBy("job_id").orderBy("place")
+    return rows.where(~silent).withColumn("seq", F.row_number().over(order) - 1).select("job_id", "seq", "cls", "status", "step", "progress")
+
+
+def failures(results: DataFrame) -> DataFrame:
+    """A guarded Failed write for each job (job_id, error) that has an error."""
+    return results.where(F.col("error").isNotNull()).select("job_id", F.lit("G").alias("cls"), F.lit("Failed").alias("status"), F.lit("Failed").alias("step"), F.lit(0).alias("progress"), F.col("error").alias("message"))
+
+
+def going_on(jobs: DataFrame, state: DataFrame, job: str = "job_id") -> DataFrame:
+    """The check between stages: jobs that aren't cancelled."""
+    return jobs.join(state.where("status = 'Cancelled'").select(job), job, "left_anti")

@@ -222,7 +222,24 @@ def file_metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
+def run_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a full run of each job would write, by the artifacts that it has."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_totalprice") < 100000).alias("database"), (F.col("o_orderkey") % 7 == 0).alias("sparse"), (F.col("o_orderkey") % 5 == 0).alias("dense_empty"))
+    return status.emitted(rows)
+
+
+def running_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that the check between stages lets go on."""
+    every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id"))
+    return status.going_on(every, status.current(standins.status_log(spark, sf_dir)))
+
+
+def elapsed_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", status.elapsed_minutes(F.lit(0.0), F.floor(F.col("value")) * 60).alias("minutes"))
+
+
 ALL = (
+    run_writes, running_jobs, elapsed_minutes,
     frame_stride_sample, frame_sharpness_filter, frame_fallback_append, multi_video_numbering, job_frame_totals, laplacian_sharpness, grayscale_luma,
     alpha_composite, upload_routing, upload_last_wins, client_video_detection, image_listing, mode_params, stage_plan, stage_skip, sequential_pairs,
     largest_submodel, dense_or_sparse, cloud_min_points, outlier_removal, cloud_centroid, outward_normals, density_trim, color_transfer_nn, cleanup_chain,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from prismgrid.operators.stages import PLACES, STAGES
-from prismgrid.operators.status import HUD
+from prismgrid.operators.status import HUD, RUN
 from prismgrid.plans.catalogue import MAX_DISTANCE
 from prismgrid.plans.standins import SUFFIXES
 
@@ -138,5 +138,8 @@ SELECT vertex_id, {_round('nx', 'ny', 'nz')} FROM normal""",
     "status_json_parse": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Not Found' WHEN 3 THEN 'Cancelled' WHEN 4 THEN 'Processing' ELSE 'Error' END AS status,
 CASE WHEN event_id % 5 = 4 THEN event_type END AS step, CASE WHEN event_id % 5 = 4 THEN event_id % 100 END AS progress, CASE WHEN event_id % 5 = 3 THEN 'stop' END AS message FROM events""",
     "status_stream": f"WITH {STATE} SELECT job_id, seq, status, step, progress FROM state",
+    "run_writes": f"WITH run(place, cls, status, step, progress) AS (VALUES {', '.join(f'({i}, {c!r}, {t!r}, {step!r}, {p})' for i, (c, t, step, p) in enumerate(RUN))}) SELECT o_orderkey AS job_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY place) - 1 AS seq, cls, status, step, progress FROM orders, run WHERE NOT (step = 'Feature Extraction' AND o_totalprice < 100000) AND NOT (step = 'Sparse Reconstruction' AND o_orderkey % 7 = 0) AND NOT (step = 'Fallback' AND o_orderkey % 5 <> 0)",
+    "running_jobs": f"WITH {STATE} SELECT c_custkey AS job_id FROM customer WHERE c_custkey NOT IN (SELECT job_id FROM state WHERE status = 'Cancelled')",
+    "elapsed_minutes": "SELECT event_id, printf('%.1f', floor(value)) AS minutes FROM events",
     "ply_roundtrip": f"WITH {POINTS} SELECT {_round('x', 'y', 'z', digits=9)} FROM points",
 }

@@ -116,14 +116,16 @@ class PlyReader(DataSourceReader):
 class Part(WriterCommitMessage):
     path: str
     count: int
+    faces: int = 0
 
 
 class PlyWriter(DataSourceWriter):
-    """Rows with x, y, z and, if there, normals and 0..1 or 0..255 colours, as doubles."""
+    """Rows with x, y, z and, if there, normals and colours, as doubles. Rows with v0, v1, v2 instead are faces: they
+    follow all vertices, which they name by their place in partition order (see ``save_mesh``)."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
-        self.names = [c for c in COLUMNS if c in schema.names]
+        self.names, self.mesh = [c for c in COLUMNS if c in schema.names], "v0" in schema.names
         if not {"x", "y", "z"} <= set(self.names):
             raise ValueError("x, y and z are needed")
 
@@ -131,30 +133,38 @@ class PlyWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        path, count = f"{self.path}.part-{task.partitionId():06d}-{task.taskAttemptId()}", 0
+        path, count, faces = f"{self.path}.part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, 0
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "wb") as h:
+        with open(path, "wb") as h, open(f"{path}.faces", "wb") as f:
             for row in rows:
-                h.write(np.array([float("nan") if row[c] is None else row[c] for c in self.names], "<f8").tobytes())
-                count += 1
-        return Part(path, count)
+                if self.mesh and row["v0"] is not None:
+                    f.write(b"\3" + np.array([row["v0"], row["v1"], row["v2"]], "<i4").tobytes())
+                    faces += 1
+                else:
+                    h.write(np.array([float("nan") if row[c] is None else row[c] for c in self.names], "<f8").tobytes())
+                    count += 1
+        return Part(path, count, faces)
 
     def commit(self, messages: list) -> None:
         if os.path.exists(self.path) and not self.overwrite:
+            self.abort(messages)
             raise FileExistsError(self.path)
-        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {sum(m.count for m in messages)}", *(f"property double {c}" for c in self.names), "end_header"]
+        messages = sorted((m for m in messages if m is not None), key=lambda m: m.path)
+        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {sum(m.count for m in messages)}", *(f"property double {c}" for c in self.names)]
+        if self.mesh:
+            lines += [f"element face {sum(m.faces for m in messages)}", "property list uchar int vertex_indices"]
         with open(f"{self.path}.tmp", "wb") as out:
-            out.write(("\n".join(lines) + "\n").encode())
-            for m in sorted(messages, key=lambda m: m.path):
-                with open(m.path, "rb") as part:
+            out.write(("\n".join([*lines, "end_header"]) + "\n").encode())
+            for path in [*(m.path for m in messages), *(f"{m.path}.faces" for m in messages)]:
+                with open(path, "rb") as part:
                     shutil.copyfileobj(part, out, 1 << 20)
         os.replace(f"{self.path}.tmp", self.path)
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        for path in (p for m in messages if m is not None for p in (m.path, f"{m.path}.faces")):
+            if os.path.exists(path):
+                os.remove(path)
 
 
 class PlyDataSource(DataSource):
@@ -192,3 +202,33 @@ def scan_ply(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], SCHEMA.names)
 
     return files.mapInArrow(run, SCHEMA)
+
+
+def save_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> None:
+    """One PLY file of a mesh (vertex_id, x, y, z and colours; v0, v1, v2). Faces of missing vertices are left out.
+
+    Vertices are sorted by id; a vertex's place is its rank, found from the sizes of the sorted ranges (two passes,
+    one number a range), so no task sees all of them.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from prismgrid.storage import materialize
+
+    names = [c for c in COLUMNS if c in vertices.columns]
+    ranged = vertices.select("vertex_id", *names).repartitionByRange("vertex_id").withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "mesh-vertices")
+    sizes, base, bases = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect()), 0, []
+    for part, n in sizes:
+        bases.append((part, base))
+        base += n
+    placed = ranged.join(F.broadcast(vertices.sparkSession.createDataFrame(bases, "part int, base long")), "part")  # one row a range
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("vertex_id")) - 1 + F.col("base")
+    placed = placed.withColumn("place", rank)
+    at = faces.select("v0", "v1", "v2")
+    for i in range(3):
+        at = at.join(placed.select(F.col("vertex_id").alias(f"v{i}"), F.col("place").alias(f"p{i}")), f"v{i}")
+    none = F.lit(None).cast("long")
+    rows = placed.select("place", *names, *(none.alias(f"v{i}") for i in range(3)))
+    rows = rows.unionByName(at.select(F.lit(None).cast("long").alias("place"), *(F.lit(None).cast("double").alias(c) for c in names), *(F.col(f"p{i}").alias(f"v{i}") for i in range(3))))
+    rows.repartitionByRange(F.asc_nulls_last("place")).sortWithinPartitions(F.asc_nulls_last("place")).drop("place").write.format("ply").mode("append").save(path)

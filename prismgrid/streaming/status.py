@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prismgrid.storage import shared_dir
@@ -43,6 +44,11 @@ def current_states(writes: DataFrame) -> DataFrame:
     return writes.groupBy("job_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def poll(states: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 2) -> StreamingQuery:
+    """Hand each change to ``put`` every few seconds."""
+    return states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def run_available(states: DataFrame, label: str = "states") -> str:
     """Drain a stream of states into Parquet in the shared folder; returns its path. Each batch replaces its own
     folder, so a batch that runs again after a failure is written once."""
