@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from prismgrid.llm.quality_rules import ACCURACY, FLOORS, REACH
 from prismgrid.llm.secrets import RULES
 from prismgrid.llm.urlfilter import DEFAULT, PATTERN_RULES, SITE_RULES
 
@@ -91,4 +94,32 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (row) LEFT JOIN items USING (row)"""
 
 
-ORACLES = {"op1_url_filters": url_filters(), "op4_secret_scans": secret_scans(), "op10_decontamination": decontamination()}
+def quality_rules() -> str:
+    shares = {"symbols_per_word": "n_symbols / n_words", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / n_words", "word_length": "word_chars / n_words"}
+    grow, ratio = math.log((1 + ACCURACY) / (1 - ACCURACY)), (1 + ACCURACY) / (1 - ACCURACY)
+    values = " UNION ALL ".join(f"SELECT row, lang, source, '{k}' AS measure, {v} AS v, {FLOORS[k][0]}::DOUBLE AS low, {FLOORS[k][1]}::DOUBLE AS high FROM counts WHERE n_words > 0" for k, v in shares.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS t,
+    [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM documents),
+grams AS (SELECT row, i, array_to_string(w[i : i + 4], chr(10)) AS g FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
+twice AS (SELECT row, count(DISTINCT i + k) AS n FROM (SELECT row, i FROM grams QUALIFY count(*) OVER (PARTITION BY row, g) > 1), unnest(range(0, 5)) AS u(k) GROUP BY row),
+counts AS (
+  SELECT row, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines
+  FROM d LEFT JOIN twice USING (row)),
+shares AS ({values}),
+buckets AS (SELECT lang, source, measure, low, high, CASE WHEN v > 1e-6 THEN ceil(ln(v) / {grow!r}::DOUBLE)::INT END AS bucket, count(*) AS n FROM shares GROUP BY ALL),
+ranked AS (
+  SELECT *, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({ratio!r}::DOUBLE, bucket) / {ratio + 1!r}::DOUBLE END AS value,
+    sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM buckets),
+quartiles AS (SELECT lang, source, measure, low, high, min(value) FILTER (upto >= ceil(total * 0.25)) AS q1, min(value) FILTER (upto >= ceil(total * 0.75)) AS q3 FROM ranked GROUP BY ALL),
+outside AS (
+  SELECT DISTINCT row FROM shares s JOIN quartiles q ON s.measure = q.measure AND s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source
+  WHERE v < least(q.low, q1 - {REACH} * (q3 - q1)) OR v > greatest(q.high, q3 + {REACH} * (q3 - q1))),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row NOT IN (SELECT row FROM outside) AS kept FROM based"""
+
+
+ORACLES = {"op1_url_filters": url_filters(), "op4_secret_scans": secret_scans(), "op9_quality_rules": quality_rules(), "op10_decontamination": decontamination()}

@@ -365,17 +365,18 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            out = {x: [] for x in names[1:]}
-            for t, spans in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                runs = merged([(max(0, s["a"]), min(len(t), s["b"])) for s in spans or ()])
-                at, left = 0, []
-                for a, b in runs:
-                    left.append(t[at:a])
-                    at = b
-                left = b"".join([*left, t[at:]])
-                for name, value in zip(names[1:], (len(t), len(t) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left if with_text else None), strict=True):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(out[x], pa.int64()) for x in names[1:4]), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())], names)
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                out = {x: [] for x in names[1:]}
+                for t, spans in zip(part.column("t").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    runs = merged([(max(0, s["a"]), min(len(t), s["b"])) for s in spans or ()])
+                    at, left = 0, []
+                    for a, b in runs:
+                        left.append(t[at:a])
+                        at = b
+                    left = b"".join([*left, t[at:]])
+                    for name, value in zip(names[1:], (len(t), len(t) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left if with_text else None), strict=True):
+                        out[name].append(value)
+                yield pa.RecordBatch.from_arrays([part.column("k"), *(pa.array(out[x], pa.int64()) for x in names[1:4]), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())], names)
 
     met = whole.join(_small(spans, 8 * F.size("spans") + 16), "row", "left").select("k", "t", "spans")
     done = met.mapInArrow(cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
