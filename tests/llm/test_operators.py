@@ -93,6 +93,14 @@ def test_brown_score_is_the_models_probability(spark, head):
         assert isclose(r["score"], by_hand, abs_tol=1e-6)
 
 
+def test_leading_words_are_the_most_frequent(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1 + i // 3) for i in range(60)] + [(b"x" * 65, 99), (b"\n", 99)], "word binary, n long")
+    for size in (0, 2, 3, 10, 100):
+        found = brown.leading_words(counts, size)
+        assert len(found) <= size and found == sorted(((f"w{i}".encode(), 1 + i // 3) for i in range(60 - len(found), 60)), key=lambda x: (-x[1], x[0]))
+    assert len(brown.leading_words(counts, 10)) >= 6 and len(brown.leading_words(counts, 100)) == 60
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(5)
     pairs = rng.integers(0, 4, (40, 40)) + 30 * (np.arange(40)[:, None] % 3 == (np.arange(40)[None, :] + 1) % 3)
