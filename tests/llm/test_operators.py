@@ -139,6 +139,15 @@ def test_suffix_dedup(spark, length, gram, group, chunk):
         assert suffixdedup.dedup(empty(spark), length, gram).count() == 0
 
 
+def test_suffix_dedup_without_broadcasts(spark, monkeypatch):
+    """Beyond the broadcast bound the joins shuffle, with the same rows."""
+    monkeypatch.setattr(suffixdedup, "SMALL_ROWS", -1)
+    data = rows()
+    expected = sorted(((d[0], *x) for d, x in zip(data, _removed([d[1] for d in data], 60), strict=True)), key=repr)
+    found = suffixdedup.dedup(frame(spark), 60, 16, 3, 2000)
+    assert collected(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
 def test_two_stage_sorts():
     rng = np.random.default_rng(1)
     for alphabet in (1, 2, 5, 250):
