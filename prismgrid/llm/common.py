@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismgrid.storage import shared_dir
+
+#: Spark's own limit for a bucketed table.
+MOST_BUCKETS = 100_000
+
 
 def text_bytes(column: str = "text") -> Column:
     """The whole text as UTF-8 bytes; null is empty."""
@@ -47,3 +53,18 @@ def pieces_of(rows: Iterator, size: int) -> Iterator[list]:
 def append_columns(df: DataFrame, extra: str) -> str:
     """DDL of ``df`` followed by the columns in ``extra``."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), extra])
+
+
+def materialize_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: one shuffle here, none of its rows in joins on ``key``.
+
+    There are as many buckets as shuffle partitions, which the session sizes to its data. The session's catalog knows
+    the table only until it is read back; its files stay.
+    """
+    spark = df.sparkSession
+    name = f"{label}-{uuid.uuid4().hex}".replace("-", "_")
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found

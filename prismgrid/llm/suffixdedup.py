@@ -14,8 +14,8 @@ A suffix array of everything would need everything in one place, so texts are fi
    the others are induced by one scan of the buckets. Neighbours whose common prefix spans a window match.
 
 An anchor with more than ``GROUP`` contexts is first dealt out by the cores of its halved families, again and again,
-so no task holds an unbounded group. Small results go back to the texts by broadcast up to ``SMALL_ROWS`` rows of
-bounded size, else by shuffle.
+so no task holds an unbounded group. Texts are written once in buckets of their row number, so places and results
+meet them where they are, at every size; only lists of anchors are broadcast, up to ``SMALL_ROWS`` rows.
 
 Defined results: null text is empty; texts shorter than ``length`` are kept whole; copies inside one text count;
 repeated rows are copies of each other; null keys are kept; an empty table gives an empty result; other columns are
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismgrid.llm.common import text_bytes
+from prismgrid.llm.common import materialize_by, text_bytes
 from prismgrid.storage import materialize
 
 LENGTH = 400
@@ -45,9 +45,8 @@ GROUP = 4000
 CHUNK = 1 << 19
 #: A family this narrow goes to the suffix array.
 NARROW = 48
-#: Rows, and bytes, that may be broadcast.
-SMALL_ROWS = 2_000_000
-SMALL_BYTES = 64 << 20
+#: Rows of two or four numbers that may be broadcast.
+SMALL_ROWS = 1_000_000
 _STRIDE = 1 << 18
 
 
@@ -279,10 +278,9 @@ def _deal(length: int):
     return run
 
 
-def _small(df: DataFrame, size) -> DataFrame:
-    """``df`` marked for broadcast if its rows and bytes are within the bounds."""
-    n = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if n["n"] <= SMALL_ROWS and n["b"] <= SMALL_BYTES else df
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, rows of a few numbers, marked for broadcast if it is within the bound."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def _places(whole: DataFrame, length: int, gram: int) -> DataFrame:
@@ -320,7 +318,7 @@ def _contexts(whole: DataFrame, reps: DataFrame, length: int, gram: int) -> Data
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    met = whole.select("row", "t").join(_small(asked, 28 * F.size("asked") + 16), "row")
+    met = whole.select("row", "t").join(asked.hint("shuffle_hash"), "row")
     return met.select("t", "asked").mapInArrow(run, "key long, low int, high int, a long, sh long, left int, weight long, data binary")
 
 
@@ -331,7 +329,7 @@ def matches(whole: DataFrame, places: DataFrame, length: int = LENGTH, gram: int
     out = stats.where("weight > 1").select("a", "sh", F.lit(-reach).alias("low"), F.lit(length).alias("high"))
     several = stats.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("weight") == 1, 1)).alias("single")).where("n > 1 and single > 0")
     several = materialize(several, "dedup-anchors")
-    reps = stats.join(_small(several.select("a", "n"), F.lit(16)), "a").select("a", "sh", "weight", F.col("rep.row").alias("row"), F.col("rep.place").alias("place"), "n")
+    reps = stats.join(_small(several.select("a", "n")), "a").select("a", "sh", "weight", F.col("rep.row").alias("row"), F.col("rep.place").alias("place"), "n")
     reps = materialize(reps, "dedup-reps")
     ready = _contexts(whole, reps.where(F.col("n") <= group), length, gram)
     large, keys, columns = reps.where(F.col("n") > group), ["key", "low", "high"], ready.columns
@@ -343,7 +341,7 @@ def matches(whole: DataFrame, places: DataFrame, length: int = LENGTH, gram: int
         out = out.unionByName(whole_match.select("a", "sh", F.greatest(F.col("low"), -F.col("left")).alias("low"), (F.col("high") + length).alias("high")))
         open_ = by.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(F.col("weight") == 1, 1)).alias("single")).where("n > 1 and single > 0")
         open_ = materialize(open_.drop("single"), "dedup-open")
-        undecided = dealt.join(_small(open_, F.lit(24)), keys)  # before any bytes are shuffled
+        undecided = dealt.join(_small(open_), keys)  # before any bytes are shuffled
         first = undecided.groupBy(*keys, "same").agg(F.min(F.struct("a", "sh", "left", "data")).alias("x"), F.sum("weight").alias("weight"), F.max("n").alias("n"))
         first = materialize(first.select(*keys, "x.a", "x.sh", "x.left", "weight", "x.data", "n"), "dedup-first")
         ready = ready.unionByName(first.where(F.col("n") <= group).select(columns))
@@ -355,7 +353,7 @@ def matches(whole: DataFrame, places: DataFrame, length: int = LENGTH, gram: int
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, chunk: int = CHUNK, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """Every document's removed runs in figures, the digest of what is left and, if asked for, the bytes left."""
     kind = docs.schema[key].dataType.simpleString()
-    whole = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), text_bytes(text).alias("t")), "dedup-texts")
+    whole = materialize_by(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), text_bytes(text).alias("t")), "dedup-texts", "row")
     places = materialize(_places(whole, length, gram), "dedup-places")
     marks = matches(whole, places, length, gram, group, chunk).groupBy("a", "sh").agg(F.collect_list(F.struct("low", "high")).alias("marks"))  # a few of each context
     spans = places.join(marks, ["a", "sh"]).select("row", F.explode("places").alias("p"), "marks")
@@ -378,6 +376,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
                         out[name].append(value)
                 yield pa.RecordBatch.from_arrays([part.column("k"), *(pa.array(out[x], pa.int64()) for x in names[1:4]), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())], names)
 
-    met = whole.join(_small(spans, 8 * F.size("spans") + 16), "row", "left").select("k", "t", "spans")
+    met = whole.join(spans.hint("shuffle_hash"), "row", "left").select("k", "t", "spans")
     done = met.mapInArrow(cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(F.col("k").alias(key), *names[1:5], *(["kept"] if with_text else []))
