@@ -9,8 +9,10 @@ from math import isclose, log10
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from prismgrid.llm import brown, classifier, decontam, quality_rules, secrets, simhash, suffixdedup, tokens, urlfilter
+from prismgrid.llm.common import materialize_by
 from prismgrid.storage import materialize
 
 from .data import SCHEMA, collected, empty, frame, rows
@@ -148,6 +150,19 @@ def test_suffix_dedup_without_broadcasts(spark, monkeypatch):
     assert collected(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+def test_bucketed_texts_are_not_shuffled(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    whole = materialize_by(frame(spark).select("row", "text"), "test-texts", "row")
+    assert collected(whole, "row", "text") == sorted(((r[5], r[1]) for r in rows()), key=repr)
+    some = frame(spark).groupBy("row").agg(F.max("n_chars").alias("m"))
+    joined = whole.join(some.hint("shuffle_hash"), "row", "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("ShuffledHashJoin")[1]
+    texts, lengths = plan.split("HashAggregate", 1)
+    assert "Exchange" not in texts and "Exchange" in lengths
+    assert joined.count() == len(rows())
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_two_stage_sorts():
     rng = np.random.default_rng(1)
     for alphabet in (1, 2, 5, 250):
