@@ -8,6 +8,10 @@ quartiles replace fixed cutoffs; they are joined back to the documents' counts a
 Defined results: null or word-less texts have no words and fail the base rule; null lang or source is a group of
 its own; a group of any size has fences, never tighter than ``FLOORS``; repeated rows count each; an empty table
 gives an empty result; other columns are ignored.
+
+A group may hold any share of the rows and there may be any number of groups: fences are broadcast whole up to
+``MOST_BYTES``; beyond, only those of groups with over a ``1 / HOT_PARTS`` of all rows are (fewer than
+``HOT_PARTS``), and the rest meet their rows in a shuffle that no such group takes part in.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ WINDOW_WORDS = 5
 ACCURACY = 0.01
 #: Fences lie this many quartile distances outside the quartiles.
 REACH = 4.0
+#: Bytes of fences (ten numbers and two names a group) that may all be broadcast.
+MOST_BYTES = 8 << 20
+#: Beyond that, a group with more than one in so many rows is hot.
+HOT_PARTS = 1000
 #: No document fails a measure inside these: (at least, at most).
 FLOORS = {"symbols_per_word": (0.0, 0.3), "dup_line_share": (0.0, 0.5), "repeat_share": (0.0, 0.2), "word_length": (2.0, 12.0)}
 
@@ -109,20 +117,37 @@ def quantiles(sketches: DataFrame, at: dict[str, float]) -> DataFrame:
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """lang, source and, for each measure, the least and most that passes."""
-    q = quantiles(sketches, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    """lang, source, n (its rows) and, for each measure, the least and most that passes."""
+    sizes = sketches.where(F.col("measure") == next(iter(FLOORS))).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    sizes = sizes.withColumnsRenamed({"lang": "n_lang", "source": "n_source"})
+    q = quantiles(sketches, {"q1": 0.25, "q3": 0.75})
     spread = REACH * (F.col("q3") - F.col("q1"))
     least = F.create_map(*(x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v[0]))))[F.col("measure")]
     most = F.create_map(*(x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v[1]))))[F.col("measure")]
     q = q.withColumn("least", F.least(least, F.col("q1") - spread)).withColumn("most", F.greatest(most, F.col("q3") + spread))
-    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{k}_{side}") for k in FLOORS for side in ("least", "most")))
+    sides = q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{k}_{side}") for k in FLOORS for side in ("least", "most")))
+    return sides.join(sizes, sides["lang"].eqNullSafe(sizes["n_lang"]) & sides["source"].eqNullSafe(sizes["n_source"])).drop("n_lang", "n_source")
+
+
+def _fenced(counted: DataFrame, cut: DataFrame, most: int = MOST_BYTES, parts: int = HOT_PARTS) -> DataFrame:
+    """Each row of ``counted`` beside its group's fences."""
+    same = lambda other: counted["lang"].eqNullSafe(other["g_lang"]) & counted["source"].eqNullSafe(other["g_source"])
+    name = lambda c: F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    size, rows = cut.agg(F.sum(F.lit(80) + name("g_lang") + name("g_source")), F.sum("n")).first()
+    if (size or 0) <= most:
+        return counted.join(F.broadcast(cut), same(cut), "left")
+    hot, rest = cut.where(F.col("n") * parts > rows), cut.where(F.col("n") * parts <= rows)
+    wordy = counted.where("n_words > 0")  # rows without words fail whatever the fences, and no group counts them
+    out = wordy.join(F.broadcast(hot), same(hot)).unionByName(wordy.join(F.broadcast(hot), same(hot), "left_anti").join(rest, same(rest), "left"))
+    return out.unionByName(counted.where("n_words = 0"), allowMissingColumns=True)
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", most_bytes: int = MOST_BYTES, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Every document's counts, base verdict and final verdict."""
     counted = materialize(counts(docs, key, text, lang, source), "quality-counts")
-    cut = fences(sketch(counted)).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    joined = counted.join(cut, counted["lang"].eqNullSafe(cut["g_lang"]) & counted["source"].eqNullSafe(cut["g_source"]), "left")
+    sketches = materialize(sketch(counted), "quality-sketches")
+    cut = materialize(fences(sketches).withColumnsRenamed({"lang": "g_lang", "source": "g_source"}), "quality-fences")
+    joined = _fenced(counted, cut, most_bytes, hot_parts)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.lit(True)
     for name, value in measures().items():

@@ -363,6 +363,11 @@ def test_quality_rules(spark):
     assert collected(found, *columns) == sorted(((d[0], *stats(d[1])) for d in rows()), key=repr)
     assert not [r for r in found.collect() if r["base_failed"] and r["kept"]] and found.where("kept").count() > 20
     assert quality_rules.judge(empty(spark)).count() == 0
+    every = [*columns, "kept"]
+    for parts in (0, 4, 1 << 40):  # no group, some groups, all groups count as hot
+        split = quality_rules.judge(frame(spark), most_bytes=-1, hot_parts=parts)
+        assert collected(split, *every) == collected(found, *every)
+    assert quality_rules.judge(empty(spark), most_bytes=-1).count() == 0
 
 
 def test_quality_sketches_merge_and_are_accurate(spark):
