@@ -1,7 +1,8 @@
 """Token counts without materialised ids, and concatenate-and-cut packing.
 
 Both rest on one observation: a byte-level BPE never merges across pre-tokens, so a pre-token's pieces
-need computing once. ``PieceTable`` keeps that dictionary per Python worker, bounded in entries.
+need computing once. ``PieceTable`` keeps that dictionary per Python worker, bounded in entries and their length;
+a longer pre-token is computed once a text.
 
 Defined results: null text counts as empty; an empty text has 0 tokens (packing still adds its end id);
 null ``doc_id`` and repeated rows are kept as they are; an empty table gives an empty result; other columns
@@ -34,8 +35,9 @@ SPACES = r"\t\n\r\x20"
 SETTLED = SPACES + r"\x21-\x7e\xa1-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e"
 #: The public vocabulary's pre-token pattern, over the settled ranges.
 PRE_TOKEN = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-#: Pre-tokens remembered by a worker before the dictionary starts anew.
+#: Pre-tokens remembered by a worker before the dictionary starts anew, and the most characters of one that is.
 MAX_ENTRIES = 400_000
+MAX_CHARS = 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -76,9 +78,14 @@ class PieceTable:
         if not self.fast(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         known, frequency = self.counts, Counter(self.split(text))
+        total = 0
         for token in [t for t in frequency if t not in known]:
-            known[token] = len(self._pieces(token))
-        total = sum(map(mul, map(known.__getitem__, frequency), frequency.values()))
+            n = len(self._pieces(token))
+            if len(token) <= MAX_CHARS:
+                known[token] = n
+            else:
+                total += n * frequency.pop(token)
+        total += sum(map(mul, map(known.__getitem__, frequency), frequency.values()))
         if len(known) > MAX_ENTRIES:
             known.clear()
         return total
@@ -87,10 +94,10 @@ class PieceTable:
         """Ids as little-endian integers of ``width``."""
         if not self.fast(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        known, tokens = self.packed, self.split(text)
+        known, tokens, long = self.packed, self.split(text), {}
         for token in {t for t in tokens if t not in known}:
-            known[token] = b"".join([self.bytes[i] for i in self._pieces(token)])
-        out = b"".join(map(known.__getitem__, tokens))
+            (known if len(token) <= MAX_CHARS else long)[token] = b"".join([self.bytes[i] for i in self._pieces(token)])
+        out = b"".join([known[t] if t in known else long[t] for t in tokens] if long else map(known.__getitem__, tokens))
         if len(known) > MAX_ENTRIES:
             known.clear()
         return out

@@ -310,6 +310,17 @@ def test_pre_tokens_agree_with_the_library_on_every_settled_character():
         assert np.frombuffer(table.ids(t), table.width).tolist() == ids and table.count(t) == len(ids), c
 
 
+def test_long_pre_tokens_are_not_remembered():
+    table = tokens.PieceTable(tokens.tokenizer_path("byte_bpe_50k.json"))
+    long = "straße" * 40
+    text = f"{long} {long} one {long} one {'!?' * 90} {long}"
+    expected = table.tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert table.count(text) == len(expected)
+        assert np.frombuffer(table.ids(text), table.width).tolist() == expected
+    assert {len(t) > tokens.MAX_CHARS for t in [*table.counts, *table.packed]} == {False}
+
+
 def test_packing(spark):
     data = rows()
     pieces = tokens.pack(frame(spark), with_ids=True).collect()
