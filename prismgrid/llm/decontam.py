@@ -15,6 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from prismgrid.llm.common import text_bytes
 from prismgrid.storage import materialize
 
 WINDOW = 13
-#: Benchmark bytes that one matcher holds; a larger benchmark is searched in as many blocks as it takes.
+#: Benchmark bytes that one matcher holds; a larger benchmark is searched in as many blocks as it takes, one at a time.
 BLOCK_BYTES = 32 << 20
 _WORD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in bytes(range(256)).lower())
 
@@ -84,21 +85,25 @@ class WuManber:
         return merged, owners
 
 
-def _blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark in blocks of about ``block_bytes``, by hash, each collected alone."""
-    rows = items.select(F.col(key).cast("string").alias("k"), text_bytes(text).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = 1 + int(total // block_bytes)
-    for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i)
-        yield [(r["k"], bytes(r["t"])) for r in part.collect()]
+class _Blocks:
+    """The benchmark in ``n`` blocks of about ``block_bytes``, by hash, each collected alone."""
+
+    def __init__(self, items: DataFrame, key: str, text: str, block_bytes: int):
+        self.rows = items.select(F.col(key).cast("string").alias("k"), text_bytes(text).alias("t"))
+        total = self.rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        self.n = 1 + int(total // block_bytes)
+
+    def matcher(self, i: int, window: int) -> Broadcast:
+        """Block ``i``'s search tables, on the executors."""
+        part = self.rows if self.n == 1 else self.rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(self.n)) == i)
+        return self.rows.sparkSession.sparkContext.broadcast(WuManber([(r["k"], bytes(r["t"])) for r in part.collect()], window))
 
 
 def _found(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document: its row number and key, its words, hit runs and the names of occurring items."""
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), text_bytes(text).alias("t"))
-    matchers = [spark.sparkContext.broadcast(WuManber(block, window)) for block in _blocks(items, item_key, item_text, block_bytes)]
+    blocks = _Blocks(items, item_key, item_text, block_bytes)
 
     def run(matcher):
         def scan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +124,17 @@ def _found(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "
 
         return rows.mapInArrow(scan, f"row long, k {kind}, n_words long, begins array<int>, ends array<int>, names array<string>")
 
-    found = run(matchers[0])
-    if len(matchers) > 1:  # only runs and names of documents that have any travel; a document's blocks meet by its row
-        for matcher in matchers[1:]:
-            found = found.unionByName(run(matcher))
-        found = found.groupBy("row", "k").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    if blocks.n == 1:
+        return run(blocks.matcher(0, window))
+    found = None
+    for i in range(blocks.n):  # no two blocks' tables are held at once
+        matcher = blocks.matcher(i, window)
+        part = run(matcher)
+        part = materialize(part if i == 0 else part.where(F.size("begins") > 0), "decontam-block")
+        matcher.destroy()
+        found = part if found is None else found.unionByName(part)
+    # only runs and names travel; a document's blocks meet by its row
+    found = found.groupBy("row", "k").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
     return found
 
 
@@ -152,12 +163,12 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "d
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns kept, without those that are contaminated."""
-    blocks = _blocks(items, item_key, item_text, block_bytes)
-    matchers = [docs.sparkSession.sparkContext.broadcast(WuManber(block, window)) for block in blocks]
+    blocks = _Blocks(items, item_key, item_text, block_bytes)
+    matcher = blocks.matcher(0, window) if blocks.n == 1 else None
     place = docs.columns.index(text)
 
     def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = matchers[0].value
+        machine = matcher.value
         for batch in found:
             mask = []
             for t in batch.column(place).cast(pa.binary()).to_pylist():
@@ -166,7 +177,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
                 mask.append(not (hit and 20 * hit >= len(words)))
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    if len(matchers) == 1:
+    if blocks.n == 1:
         return docs.mapInArrow(keep, docs.schema)
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     kept = materialize(numbered, "decontam")
