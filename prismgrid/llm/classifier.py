@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm.common import crc_mod, in_fold, text_bytes
+from prismgrid.storage import materialize
 
 BITS = 16
 DIMENSIONS = 8
@@ -30,6 +31,8 @@ CHAR_GRAMS = (2, 3, 4)
 KINDS = len(CHAR_GRAMS) + 2
 THRESHOLD = 0.7
 MAX_TRAIN = 3000
+#: Parts in which the training rows travel to the driver.
+PARTS = 16
 _ODD = 0x9E3779B1
 
 
@@ -132,18 +135,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, key: str
     usable = labels.where(F.col(label).isNotNull() & (crc_mod(F.col(key), modulus) != held_out))
     marked = usable.groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     marked = F.broadcast(marked.orderBy(F.xxhash64("k"), "k").limit(max_train))  # at most max_train rows of two numbers
-    rows = docs.select(F.col(key).alias("k"), text_bytes(text).alias("t")).join(marked, "k").orderBy(F.xxhash64("k"), F.xxhash64("t")).limit(max_train)
+    rows = docs.select(F.col(key).alias("k"), text_bytes(text).alias("t")).join(marked, "k")
+    rows = rows.select(F.col("k").cast("string").alias("k"), "y", F.xxhash64("k").alias("a"), F.xxhash64("t").alias("b"), "t")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 made = vectors_of(part.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k").cast(pa.string()), part.column("y").cast(pa.int32()), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())],
-                    ["k", "y", "at", "share"],
+                    [part.column("k"), part.column("y").cast(pa.int32()), part.column("a"), part.column("b"), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())],
+                    ["k", "y", "a", "b", "at", "share"],
                 )
 
-    made = rows.select(F.col("k").cast("string").alias("k"), "y", "t").mapInArrow(run, "k string, y int, at binary, share binary").collect()
+    # features are made where the texts are; whole texts never meet in one task, and the driver takes a part at a time
+    made = rows.mapInArrow(run, "k string, y int, a long, b long, at binary, share binary").orderBy("a", "b").limit(max_train)
+    made = list(materialize(made.repartition(PARTS), "classifier-rows").toLocalIterator())
     made.sort(key=lambda r: (r["k"], bytes(r["at"]), bytes(r["share"])))
     return train([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float16), int(r["y"] > 0)) for r in made])
 
