@@ -51,8 +51,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: Anything without five dashes in a row, to an END line. Repeats are bounded where Java's matcher recurses.
+_TO_END = r"[^-]*(?:-{1,4}[^-]+){0,32}-----END [A-Z ]*PRIVATE KEY-----"
+#: Without an END line: header fields, then base64 runs of 24 characters or more and the one run after them (a short
+#: last line); past 80 long runs all that is base64 or lies between its lines; else the run on the line below.
+_RUN, _BETWEEN = r"[A-Za-z0-9+/=]", r"""[ \t\r\n>#*"'\\,]"""
+_LINE = f"(?:{_BETWEEN}+{_RUN}{{24,}})"
+_FIELDS = rf"(?:{_BETWEEN}+[A-Za-z0-9-]+:[^\r\n\\]*){{0,8}}"
+_BLOCK = rf"""{_FIELDS}(?:{_LINE}{{40}}{_LINE}{{40}}[A-Za-z0-9+/= \t\r\n>#*"'\\,]*|{_LINE}{{1,40}}{_LINE}{{0,40}}(?:{_BETWEEN}+{_RUN}+)?|[ \t]*(?:\r?\n|\\n)[ \t]*{_RUN}+)"""
 EXTRA = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", f"{_HEADER}(?:{_TO_END}|{_BLOCK})?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),

@@ -222,6 +222,25 @@ def test_trigram_queries_hold_for_every_match():
         assert q is True or not holds(q, "nothing to see")
 
 
+def test_private_keys_are_redacted_whole(spark):
+    rng = np.random.default_rng(4)
+    base64 = lambda n: "".join("ABCXYZabcxyz0189+/"[i] for i in rng.integers(0, 18, n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = [base64(64) for _ in range(24)] + [base64(14) + "=="]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    bodies = [sep + sep.join(x) + sep for sep in ("\n", "\r\n", "\\n", " ", "\n    ", "\n> ") for x in (lines, [base64(64) for _ in range(300)])] + ["\n" + fields + "\n".join(lines) + "\n"]
+    texts = [f"see {begin}{b}{e} (the key)" for b in bodies for e in (end, "")] + [f"see {begin}\nMIIEabc", f"see {begin} (the key)", f"see {begin}\n" + "a-b " * 30_000 + "(the key)"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = dict(collected(secrets.redact(docs), "doc_id", "text"))
+    for i, b in enumerate(bodies):
+        assert clean[2 * i] == "see [SECRET] (the key)", b[:80]
+        assert clean[2 * i + 1].startswith("see [SECRET]") and clean[2 * i + 1][12:].strip(" \r\n\\>n") == "(the key)", b[:80]
+    n = 2 * len(bodies)
+    assert clean[n] == "see [SECRET]" and clean[n + 1] == "see [SECRET] (the key)" and clean[n + 2].endswith("b a-b (the key)")
+    two = spark.createDataFrame([(1, f"{begin}\n{lines[0]}\n{end} between {begin}\n{lines[1]}\n{end} after")], "doc_id long, text string")
+    assert secrets.redact(two).first()["text"] == "[SECRET] between [SECRET] after"
+
+
 def test_quality_classifier(spark, small_dir):
     docs, labels = spark.read.parquet(f"{small_dir}/../sf0.01/documents.parquet"), spark.read.parquet(f"{small_dir}/../sf0.01/labels.parquet")
     found = classifier.judge(docs, labels)
