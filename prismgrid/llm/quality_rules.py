@@ -38,8 +38,9 @@ REACH = 4.0
 MOST_BYTES = 8 << 20
 #: Beyond that, a group with more than one in so many rows is hot.
 HOT_PARTS = 1000
-#: No document fails a measure inside these: (at least, at most).
-FLOORS = {"symbols_per_word": (0.0, 0.3), "dup_line_share": (0.0, 0.5), "repeat_share": (0.0, 0.2), "word_length": (2.0, 12.0)}
+#: No document fails a measure inside these: (at least, at most). A least spread for groups whose quartiles (nearly)
+#: coincide, well inside the fences of any other group.
+FLOORS = {"symbols_per_word": (0.0, 0.05), "dup_line_share": (0.0, 0.25), "repeat_share": (0.0, 0.1), "word_length": (4.5, 6.0)}
 
 
 def repeated_words(words: list[bytes], size: int = WINDOW_WORDS) -> int:

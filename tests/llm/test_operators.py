@@ -400,6 +400,21 @@ def test_quality_rules(spark):
     assert quality_rules.judge(empty(spark), most_bytes=-1).count() == 0
 
 
+def test_quality_fences_follow_their_group(spark):
+    """The same text passes in one group and fails in another, where only the groups' own quartiles differ."""
+    text = lambda length, i: " ".join(chr(97 + (i + k) % 26) * (length + k % 2) + chr(97 + k % 23) for k in range(40))
+    repeated = lambda share, i: text(4, i) + " " + " ".join(["again and again it goes"] * 2 if share else [])
+    groups = {"short": [text(4 + i % 2, i) for i in range(20)], "long": [text(7 + i % 4, i) for i in range(20)], "plain": [text(4, i) for i in range(20)], "chorus": [repeated(i % 2, i) for i in range(20)]}
+    probes = {"short": text(9, 3), "long": text(9, 3), "plain": repeated(1, 5), "chorus": repeated(1, 5)}
+    data = [(i, t, "en", g) for g, texts in groups.items() for i, t in enumerate(texts)] + [(99, t, "en", g) for g, t in probes.items()]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    cut = {r["source"]: r for r in quality_rules.fences(quality_rules.sketch(quality_rules.counts(docs))).collect()}
+    assert cut["long"]["word_length_most"] > cut["short"]["word_length_most"] and cut["chorus"]["repeat_share_most"] > cut["plain"]["repeat_share_most"]
+    kept = collected(quality_rules.judge(docs), "doc_id", "base_failed", "kept")
+    assert [k[1:] for k in kept if k[0] == 99] == [(False, False)] * 2 + [(False, True)] * 2
+    assert all(k[1:] == (False, True) for k in kept if k[0] != 99)
+
+
 def test_quality_sketches_merge_and_are_accurate(spark):
     from pyspark.sql import functions as F
 
