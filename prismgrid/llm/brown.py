@@ -3,7 +3,8 @@
 p(text) = product of p(class | previous class) * p(word | class). Every word belongs to a type: the ``WORDS`` most
 frequent words are types of their own, any other word belongs to the type of its ending (a fixed number of hashed
 endings), so no word of an unbounded vocabulary lacks one; the end is the last type. Exchange clustering moves types between classes while the
-class bigram likelihood grows. Counts of all training words and all type pairs are gathered by distributed
+class bigram likelihood grows. The other words of the head (see below) then leave their endings' classes for those
+that the classes beside them ask for, each from its own counts in a distributed step. Counts of all training words and all type pairs are gathered by distributed
 aggregation; only the type pairs (types squared at most) reach the driver.
 
 p(word | class) is n / (N + S + 1) for a word seen n times, and (S + 1) / (N + S + 1) for the one slot of words
@@ -72,47 +73,125 @@ def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Types:
-    """Which type a word has: its own if it leads the counts, else its ending's."""
+    """Which type a word has: its own if it leads the counts, else its ending's.
+
+    ``known`` numbers the remaining words of the head beyond all types; ``base`` has the type of each number.
+    """
 
     def __init__(self, head: list[tuple[bytes, int]], words: int = WORDS, endings: int = ENDINGS):
         self.words, self.endings, self.size = words, endings, words + endings + 1
-        self.own = {w: i for i, (w, _) in enumerate(head[:words])}
-        self.known = {w: self.own.get(w, words + ending(w, endings)) for w, _ in head} | {END: self.size - 1}
+        rest = [w for w, _ in head[words:]]
+        self.rest = len(rest)
+        self.known = {w: i for i, (w, _) in enumerate(head[:words])} | {w: self.size + i for i, w in enumerate(rest)} | {END: self.size - 1}
+        self.base = np.concatenate([np.arange(self.size), [words + ending(w, endings) for w in rest]]).astype(np.int64)
 
     def of(self, words: list[bytes]) -> list[int]:
         known, first, endings = self.known, self.words, self.endings
         return [known[w] if w in known else first + ending(w, endings) for w in words]
 
 
-def type_pairs(train: DataFrame, types: Types, text: str = "text") -> np.ndarray:
-    """Counts of (type, next type); a text begins after an end. As many numbers, whatever the input."""
-    n, end = types.size, types.size - 1
+def numbered(train: DataFrame, types: Types, text: str = "text") -> DataFrame:
+    """Lines of the words' numbers (int32), some texts to a line; a line begins and each text ends with an end."""
     shared = train.sparkSession.sparkContext.broadcast(types)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n * n, np.int64)
         for batch in found:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                line = [end]
+                line = [shared.value.size - 1]
                 for t in part.column(0).to_pylist():
                     line += shared.value.of(t.lower().split())
-                    line.append(end)
-                at = np.array(line, np.int64)
-                counts += np.bincount(at[:-1] * n + at[1:], minlength=n * n)
+                    line.append(shared.value.size - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(line, np.int32).tobytes()], pa.binary())], ["line"])
+
+    return materialize(train.select(text_bytes(text)).mapInArrow(run, "line binary"), "word-numbers")
+
+
+def _summed(lines: DataFrame, of: np.ndarray, size: int, codes) -> DataFrame:
+    """code, n: how often ``codes`` of a line's numbers and of their ``of`` has each code below ``size``."""
+    shared = lines.sparkSession.sparkContext.broadcast(of)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for batch in found:
+            for line in batch.column(0).to_pylist():
+                at = np.frombuffer(line, np.int32)
+                np.add.at(counts, codes(at, shared.value[at]), 1)
         seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["pair", "n"])
+        for i in range(0, max(1, len(seen)), 1 << 16):
+            some = seen[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["code", "n"])
+
+    return lines.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
 
-    rows = train.select(text_bytes(text)).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(n * n, np.int64)
-    for r in rows:
-        out[r["pair"]] = r["n"]
-    return out.reshape(n, n)
+def pairs_of(lines: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """Counts of (``of`` a number, ``of`` the next). As many numbers, whatever the input."""
+    out = np.zeros(size * size, np.int64)
+    for r in _summed(lines, of, size * size, lambda at, x: x[:-1] * size + x[1:]).collect():
+        out[r["code"]] = r["n"]
+    return out.reshape(size, size)
+
+
+def settle(lines: DataFrame, types: Types, label: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """``label`` of the types, followed by that of each remaining word of the head: the class that raises the
+    likelihood most, from the classes beside the word itself, while all others keep the classes of their types."""
+    classes, first = len(grid), types.size
+    wide = 2 * classes + 1  # next classes, previous classes, next to itself
+    before = label[types.base]
+
+    def codes(at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        i = np.flatnonzero(at >= first)  # neither a line's first place nor its last
+        own = (at[i].astype(np.int64) - first) * wide
+        return np.concatenate([own + x[i + 1], own + classes + x[i - 1], own[at[i] == at[i + 1]] + 2 * classes])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            ids, best = batch.column(0).to_pylist(), []
+            for word, beside in zip(ids, batch.column(1).to_pylist(), strict=True):
+                n = np.zeros(wide)
+                for x in beside:
+                    n[x["slot"]] = x["n"]
+                was = before[first + word]
+                gain = _gains(grid, was, n[-1], n[:classes], n[classes:-1])[0]
+                top = int(np.argmax(gain))
+                best.append(top if gain[top] > gain[was] + 1e-9 else int(was))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(best, pa.int32())], ["word", "label"])
+
+    counts = _summed(lines, before, types.rest * wide, codes)
+    beside = F.collect_list(F.struct((F.col("code") % wide).alias("slot"), "n"))
+    by_word = counts.groupBy(F.floor(F.col("code") / wide).cast("int").alias("word")).agg(beside.alias("beside"))
+    out = before.copy()
+    out[:first] = label
+    for r in by_word.mapInArrow(run, "word int, label int").collect():
+        out[first + r["word"]] = r["label"]
+    return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
+def _gains(grid: np.ndarray, was: int, own: float, left: np.ndarray, right: np.ndarray):
+    """The likelihood with a type of class ``was`` in each class, up to a constant; the grid without the type, and its
+    next and previous classes without itself. The last class takes none."""
+    out, into = left.copy(), right.copy()
+    out[was] -= own
+    into[was] -= own  # without itself
+    bare = grid.copy()
+    bare[was, :] -= out
+    bare[:, was] -= into
+    bare[was, was] -= own
+    rows, cols = bare.sum(axis=1), bare.sum(axis=0)
+    total_out, total_in = out.sum() + own, into.sum() + own
+    gain = (_xlogx(bare + out[None, :]) - _xlogx(bare)).sum(axis=1) + (_xlogx(bare + into[:, None]) - _xlogx(bare)).sum(axis=0)
+    d = np.arange(len(grid))
+    both, plain = bare[d, d] + out + into + own, bare[d, d]
+    gain += _xlogx(both) + _xlogx(plain) - _xlogx(plain + out) - _xlogx(plain + into)
+    gain -= _xlogx(rows + total_out) - _xlogx(rows) + _xlogx(cols + total_in) - _xlogx(cols)
+    gain[-1] = -np.inf
+    return gain, bare, out, into
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> np.ndarray:
     """A class for each type. Types move, one at a time, to the class that raises the bigram likelihood most.
 
@@ -132,22 +211,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> np.
     for _ in range(rounds):
         moves = 0
         for t in movable:
-            own = pairs[t, t]
-            out, into, was = left[t].copy(), right[t].copy(), label[t]
-            out[was] -= own
-            into[was] -= own  # without itself
-            bare = grid.copy()
-            bare[was, :] -= out
-            bare[:, was] -= into
-            bare[was, was] -= own
-            rows, cols = bare.sum(axis=1), bare.sum(axis=0)
-            total_out, total_in = out.sum() + own, into.sum() + own
-            gain = (_xlogx(bare + out[None, :]) - _xlogx(bare)).sum(axis=1) + (_xlogx(bare + into[:, None]) - _xlogx(bare)).sum(axis=0)
-            d = np.arange(classes)
-            both, plain = bare[d, d] + out + into + own, bare[d, d]
-            gain += _xlogx(both) + _xlogx(plain) - _xlogx(plain + out) - _xlogx(plain + into)
-            gain -= _xlogx(rows + total_out) - _xlogx(rows) + _xlogx(cols + total_in) - _xlogx(cols)
-            gain[classes - 1] = -np.inf
+            own, was = pairs[t, t], label[t]
+            gain, bare, out, into = _gains(grid, was, own, left[t], right[t])
             best = int(np.argmax(gain))
             if gain[best] <= gain[was] + 1e-9:
                 continue
@@ -169,12 +234,9 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> np.
 class Model:
     """What scoring needs, of a size that the input doesn't change."""
 
-    def __init__(self, types: Types, head: list[tuple[bytes, int]], total: int, distinct: int, pairs: np.ndarray, once: dict[int, int], classes: int = CLASSES):
-        self.types = types
+    def __init__(self, types: Types, head: list[tuple[bytes, int]], total: int, distinct: int, label: np.ndarray, grid: np.ndarray, once: dict[int, int]):
+        self.types, self.label, classes = types, label, len(grid)
         self.total, self.base = total, np.log10(total + distinct + 1)
-        self.label = exchange(pairs, classes)
-        one = np.eye(classes)[self.label]
-        grid = one.T @ pairs @ one
         share = (grid.sum(axis=0) + 1) / (grid.sum() + classes)
         self.step = np.log10((grid + SMOOTH * share) / (grid.sum(axis=1, keepdims=True) + SMOOTH))
         tokens, single = grid.sum(axis=0), np.zeros(classes)
@@ -209,16 +271,23 @@ def fit(train: DataFrame, text: str = "text", head_size: int = HEAD, words: int
     head = leading_words(counts, head_size)
     ends = counts.where(F.col("word") == F.lit(END)).collect()
     types = Types(head, words, endings)
-    pairs = type_pairs(train, types, text)
+    lines = numbered(train, types, text)
+    pairs = pairs_of(lines, types.base, types.size)
+    label = exchange(pairs, classes)
+    one = np.eye(classes)[label]
+    grid = one.T @ pairs @ one
+    if types.rest:
+        label = settle(lines, types, label, grid)
+        grid = pairs_of(lines, label, classes).astype(np.float64)
     single = counts.where("n = 1 and word != X'0A'").groupBy(ending_of(F.col("word"), endings).alias("ending")).agg(F.count("*").alias("n")).collect()
     once = {words + r["ending"]: r["n"] for r in single}
-    for w, n in head[:words]:
-        if n == 1:  # a type of its own, not its ending's
-            once[types.own[w]] = 1
+    for w, n in head:
+        if n == 1:  # a class of its own, not its ending's
+            once[types.known[w]] = 1
             once[words + ending(w, endings)] -= 1
     if ends and ends[0]["n"] == 1:
         once[types.size - 1] = 1
-    model = Model(types, head + [(END, r["n"]) for r in ends], whole[0] or 0, whole[1], pairs, once, classes)
+    model = Model(types, head + [(END, r["n"]) for r in ends], whole[0] or 0, whole[1], label, grid, once)
     return model, counts
 
 
@@ -233,7 +302,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, key: str = "doc_
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         head, of_ending, step, whole, unseen = m.head, m.of_ending.tolist(), m.step, m.whole, m.unseen
-        end_class, endings = int(m.label[-1]), m.types.endings
+        end_class, endings = int(m.label[m.types.size - 1]), m.types.endings
         nothing = (None, 0.0, 0.0)
         for batch in found:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):

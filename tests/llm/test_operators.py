@@ -116,6 +116,16 @@ def test_exchange_never_lowers_the_likelihood():
     assert all(b >= a - 1e-6 for a, b in zip(values, values[1:], strict=False)) and values[-1] > values[0]
 
 
+def test_brown_classes_follow_a_words_own_contexts(spark):
+    """Words of one ending, too rare for a type of their own, part by what stands beside them."""
+    texts = [f"left {'abcdefgh'[i % 8]}1zzz up right {'abcdefgh'[i % 8]}2zzz down" for i in range(200)] + ["left big up right huge down"] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, _ = brown.fit(docs, words=6, endings=3, classes=8)
+    label = [{int(model.label[model.types.known[f"{c}{k}zzz".encode()]]) for c in "abcdefgh"} for k in (1, 2)]
+    assert not label[0] & label[1]
+    assert model.label[model.types.size - 1] == 7 and 7 not in label[0] | label[1]
+
+
 def _removed(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
