@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-from prismgrid.llm.quality_rules import ACCURACY, FLOORS, REACH
 from prismgrid.llm.secrets import RULES
 from prismgrid.llm.urlfilter import DEFAULT, PATTERN_RULES, SITE_RULES
 
@@ -95,9 +92,9 @@ FROM d LEFT JOIN covered USING (row) LEFT JOIN items USING (row)"""
 
 
 def quality_rules() -> str:
-    shares = {"symbols_per_word": "n_symbols / n_words", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / n_words", "word_length": "word_chars / n_words"}
-    grow, ratio = math.log((1 + ACCURACY) / (1 - ACCURACY)), (1 + ACCURACY) / (1 - ACCURACY)
-    values = " UNION ALL ".join(f"SELECT row, lang, source, '{k}' AS measure, {v} AS v, {FLOORS[k][0]}::DOUBLE AS low, {FLOORS[k][1]}::DOUBLE AS high FROM counts WHERE n_words > 0" for k, v in shares.items())
+    """Sketch buckets grow by 1.01 / 0.99; fences reach 4 distances; 2 occurrences pass."""
+    counts = {"symbols_per_word": ("n_symbols", "n_words", 2), "dup_line_share": ("n_dup_lines", "greatest(n_lines, 1)", 2), "repeat_share": ("n_repeat_words", "n_words", 2), "word_length": ("word_chars", "n_words", 0)}
+    values = " UNION ALL ".join(f"SELECT row, lang, source, '{k}' AS measure, {n} AS x, {of} AS size, {events} AS events, {n} / {of} AS v FROM counts WHERE n_words > 0" for k, (n, of, events) in counts.items())
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS t,
@@ -110,14 +107,19 @@ counts AS (
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines
   FROM d LEFT JOIN twice USING (row)),
 shares AS ({values}),
-buckets AS (SELECT lang, source, measure, low, high, CASE WHEN v > 1e-6 THEN ceil(ln(v) / {grow!r}::DOUBLE)::INT END AS bucket, count(*) AS n FROM shares GROUP BY ALL),
+buckets AS (SELECT lang, source, measure, CASE WHEN v > 1e-6 THEN ceil(ln(v) / ln(1.01::DOUBLE / 0.99::DOUBLE))::INT END AS bucket, count(*) AS n FROM shares GROUP BY ALL),
 ranked AS (
-  SELECT *, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({ratio!r}::DOUBLE, bucket) / {ratio + 1!r}::DOUBLE END AS value,
+  SELECT *, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) / (1.01::DOUBLE / 0.99::DOUBLE + 1) END AS value,
     sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM buckets),
-quartiles AS (SELECT lang, source, measure, low, high, min(value) FILTER (upto >= ceil(total * 0.25)) AS q1, min(value) FILTER (upto >= ceil(total * 0.75)) AS q3 FROM ranked GROUP BY ALL),
+levels AS (
+  SELECT lang, source, measure, min(value) FILTER (upto >= ceil(total * 0.1)) AS d1, min(value) FILTER (upto >= ceil(total * 0.25)) AS q1,
+    min(value) FILTER (upto >= ceil(total * 0.75)) AS q3, min(value) FILTER (upto >= ceil(total * 0.9)) AS d9 FROM ranked GROUP BY ALL),
+fences AS (
+  SELECT lang, source, measure, CASE WHEN q3 > q1 THEN q1 - 4 * (q3 - q1) ELSE 0.98::DOUBLE * (d1 - 4 * (q1 - d1)) END AS low,
+    CASE WHEN q3 > q1 THEN q3 + 4 * (q3 - q1) ELSE 1.02::DOUBLE * (d9 + 4 * (d9 - q3)) END AS high FROM levels),
 outside AS (
-  SELECT DISTINCT row FROM shares s JOIN quartiles q ON s.measure = q.measure AND s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source
-  WHERE v < least(q.low, q1 - {REACH} * (q3 - q1)) OR v > greatest(q.high, q3 + {REACH} * (q3 - q1))),
+  SELECT DISTINCT row FROM shares s JOIN fences f ON s.measure = f.measure AND s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source
+  WHERE x < low * size - events OR x > high * size + events),
 based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row NOT IN (SELECT row FROM outside) AS kept FROM based"""
 

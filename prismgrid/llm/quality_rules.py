@@ -3,11 +3,16 @@
 Every document's counts go into mergeable quantile sketches, one for each (lang, source) and measure: counts of
 values in buckets whose borders grow by a fixed ratio, so two sketches merge by adding counts, the same data give
 the same sketch in any order, and any quantile is right to ``ACCURACY`` of its value. Fences drawn from the
-quartiles replace fixed cutoffs; they are joined back to the documents' counts and filter them.
+group's own quantiles replace fixed cutoffs; they are joined back to the documents' counts and filter them.
+
+A fence lies ``REACH`` quartile distances outside a quartile. Where the quartiles coincide (most documents have no
+symbol at all), it lies ``REACH`` times as far outside the outer decile as that is from the quartile. No level is
+given from outside; all that is allowed for is the sketch's own error where values coincide and ``EVENTS``
+occurrences, since so few say nothing about a text of any length.
 
 Defined results: null or word-less texts have no words and fail the base rule; null lang or source is a group of
-its own; a group of any size has fences, never tighter than ``FLOORS``; repeated rows count each; an empty table
-gives an empty result; other columns are ignored.
+its own; a group of any size has fences, one document's included; repeated rows count each; an empty table gives an
+empty result; other columns are ignored.
 
 A group may hold any share of the rows and there may be any number of groups: fences are broadcast whole up to
 ``MOST_BYTES``; beyond, only those of groups with over a ``1 / HOT_PARTS`` of all rows are (fewer than
@@ -38,9 +43,8 @@ REACH = 4.0
 MOST_BYTES = 8 << 20
 #: Beyond that, a group with more than one in so many rows is hot.
 HOT_PARTS = 1000
-#: No document fails a measure inside these: (at least, at most). A least spread for groups whose quartiles (nearly)
-#: coincide, well inside the fences of any other group.
-FLOORS = {"symbols_per_word": (0.0, 0.05), "dup_line_share": (0.0, 0.25), "repeat_share": (0.0, 0.1), "word_length": (4.5, 6.0)}
+#: Occurrences (symbols, repeated lines or words) beyond a fence that pass in a text of any length.
+EVENTS = 2
 
 
 def repeated_words(words: list[bytes], size: int = WINDOW_WORDS) -> int:
@@ -87,21 +91,21 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return rows.mapInArrow(run, f"k {kinds[0]}, lang {kinds[1]}, source {kinds[2]}, " + ", ".join(f"{n} long" for n in names))
 
 
-def measures() -> dict[str, Column]:
-    """The measured shares of a row of ``counts``."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+def measures() -> dict[str, tuple[Column, Column, int]]:
+    """What a row of ``counts`` has of each measure, of how many, and the occurrences that pass beyond a fence."""
+    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return {
-        "symbols_per_word": F.col("n_symbols") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / words,
-        "word_length": F.col("word_chars") / words,
+        "symbols_per_word": (F.col("n_symbols"), words, EVENTS),
+        "dup_line_share": (F.col("n_dup_lines"), lines, EVENTS),
+        "repeat_share": (F.col("n_repeat_words"), words, EVENTS),
+        "word_length": (F.col("word_chars"), words, 0),
     }
 
 
 def sketch(counted: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, n. Sketches of parts of the data merge by summing n."""
     grow = math.log((1 + ACCURACY) / (1 - ACCURACY))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in measures().items())))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), (n / of).alias("v")) for k, (n, of, _) in measures().items())))
     bucket = F.when(F.col("m.v") > 1e-6, F.ceil(F.log(F.col("m.v")) / grow).cast("int"))  # none: zero
     rows = counted.where("n_words > 0").select("lang", "source", each.alias("m"))
     return rows.groupBy("lang", "source", F.col("m.measure").alias("measure"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
@@ -119,14 +123,15 @@ def quantiles(sketches: DataFrame, at: dict[str, float]) -> DataFrame:
 
 def fences(sketches: DataFrame) -> DataFrame:
     """lang, source, n (its rows) and, for each measure, the least and most that passes."""
-    sizes = sketches.where(F.col("measure") == next(iter(FLOORS))).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    names = list(measures())
+    sizes = sketches.where(F.col("measure") == names[0]).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     sizes = sizes.withColumnsRenamed({"lang": "n_lang", "source": "n_source"})
-    q = quantiles(sketches, {"q1": 0.25, "q3": 0.75})
-    spread = REACH * (F.col("q3") - F.col("q1"))
-    least = F.create_map(*(x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v[0]))))[F.col("measure")]
-    most = F.create_map(*(x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v[1]))))[F.col("measure")]
-    q = q.withColumn("least", F.least(least, F.col("q1") - spread)).withColumn("most", F.greatest(most, F.col("q3") + spread))
-    sides = q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{k}_{side}") for k in FLOORS for side in ("least", "most")))
+    q = quantiles(sketches, {"d1": 0.1, "q1": 0.25, "q3": 0.75, "d9": 0.9})
+    spread, wide = REACH * (F.col("q3") - F.col("q1")), F.col("q3") > F.col("q1")
+    least = F.when(wide, F.col("q1") - spread).otherwise((1 - 2 * ACCURACY) * (F.col("d1") - REACH * (F.col("q1") - F.col("d1"))))
+    most = F.when(wide, F.col("q3") + spread).otherwise((1 + 2 * ACCURACY) * (F.col("d9") + REACH * (F.col("d9") - F.col("q3"))))
+    q = q.withColumn("least", least).withColumn("most", most)
+    sides = q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{k}_{side}") for k in names for side in ("least", "most")))
     return sides.join(sizes, sides["lang"].eqNullSafe(sizes["n_lang"]) & sides["source"].eqNullSafe(sizes["n_source"])).drop("n_lang", "n_source")
 
 
@@ -151,6 +156,6 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     joined = _fenced(counted, cut, most_bytes, hot_parts)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.lit(True)
-    for name, value in measures().items():
-        inside = inside & F.coalesce(value.between(F.col(f"{name}_least"), F.col(f"{name}_most")), F.lit(True))
+    for name, (n, of, events) in measures().items():
+        inside = inside & F.coalesce(n.between(F.col(f"{name}_least") * of - events, F.col(f"{name}_most") * of + events), F.lit(True))
     return joined.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & inside).alias("kept"))
