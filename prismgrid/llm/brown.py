@@ -2,16 +2,22 @@
 
 p(text) = product of p(class | previous class) * p(word | class). Every word belongs to a type: the ``WORDS`` most
 frequent words are types of their own, any other word belongs to the type of its ending (a fixed number of hashed
-endings), so no word of an unbounded vocabulary lacks one; the end is the last type. Exchange clustering moves types between classes while the
-class bigram likelihood grows. The other words of the head (see below) then leave their endings' classes for those
-that the classes beside them ask for, each from its own counts in a distributed step. Counts of all training words and all type pairs are gathered by distributed
+endings), so no word of an unbounded vocabulary lacks one; the end is the last type. Exchange clustering moves types
+between classes while the class bigram likelihood grows. The other words of the head (``HEAD`` words) then leave their
+endings' classes for those that their own neighbours ask for, all at once and ``ROUNDS`` times, each from its own
+counts in a distributed step. Counts of all training words and all type pairs are gathered by distributed
 aggregation; only the type pairs (types squared at most) reach the driver.
 
-p(word | class) is n / (N + S + 1) for a word seen n times, and (S + 1) / (N + S + 1) for the one slot of words
-never seen, where the class has N tokens and S words seen once: a proper distribution. p(class | class) is
-interpolated with the classes' own shares. Since a text's log probability is a sum over its tokens, the ``HEAD``
-most frequent words are scored where the text is, from a broadcast table of bounded size (HEAD words of at most
-64 bytes); each document's remaining words meet their counts in a shuffled join and are summed by document.
+p(word | class) is n / (N + S + 1) for a word seen n times, and (S + 1) / (N + S + 1) for the slot of all words never
+seen, where the class has N tokens and S words seen once. With ``spell`` a word never seen gets its share of that
+slot: the probability of its bytes, from the byte pairs of the training words seen once, whose kind it is. Without,
+the slot is one outcome, and unknown words cost no more than their slot. p(class | class) is interpolated with the
+classes' own shares.
+
+Texts are split twice: to count words, and to number them once the head is known. Numbers are written to the shared
+folder with each text's remaining words; clustering and scoring read those. The head is scored where the text is,
+from tables of bounded size; each document's remaining words meet their counts in a shuffled join and are summed by
+document. Of those, only words over ``HEAD_BYTES`` bytes can be frequent; the frequent ones are dealt out by row.
 
 Defined results: null and word-less texts are one end token; rows with a null doc_id train and are not held out;
 repeated rows train and are scored each; without training rows every count is 0 and every base term is
@@ -34,14 +40,20 @@ from prismgrid.storage import materialize
 
 #: Stands for the end of a text; no word has white space.
 END = b"\n"
-WORDS = 384
+WORDS = 1000
 ENDINGS = 127
-CLASSES = 32
+CLASSES = 64
+ROUNDS = 2
 HEAD = 50_000
 HEAD_BYTES = 64
 SMOOTH = 5.0
 #: Distinct words that a worker counts before it hands them on.
 HELD = 300_000
+#: A longer word with more than one in so many tokens is dealt out, to so many places.
+HOT_PARTS = 1000
+SALTS = 64
+#: Texts that a worker takes together.
+SLICE = 256
 
 
 def ending(word: bytes, endings: int = ENDINGS) -> int:
@@ -81,66 +93,76 @@ class Types:
     def __init__(self, head: list[tuple[bytes, int]], words: int = WORDS, endings: int = ENDINGS):
         self.words, self.endings, self.size = words, endings, words + endings + 1
         rest = [w for w, _ in head[words:]]
-        self.rest = len(rest)
-        self.known = {w: i for i, (w, _) in enumerate(head[:words])} | {w: self.size + i for i, w in enumerate(rest)} | {END: self.size - 1}
+        self.rest, self.end = len(rest), self.size - 1
+        self.known = {w: i for i, (w, _) in enumerate(head[:words])} | {w: self.size + i for i, w in enumerate(rest)} | {END: self.end}
         self.base = np.concatenate([np.arange(self.size), [words + ending(w, endings) for w in rest]]).astype(np.int64)
 
-    def of(self, words: list[bytes]) -> list[int]:
-        known, first, endings = self.known, self.words, self.endings
-        return [known[w] if w in known else first + ending(w, endings) for w in words]
-
 
-def numbered(train: DataFrame, types: Types, text: str = "text") -> DataFrame:
-    """Lines of the words' numbers (int32), some texts to a line; a line begins and each text ends with an end."""
-    shared = train.sparkSession.sparkContext.broadcast(types)
+def numbered(docs: DataFrame, types: Types) -> DataFrame:
+    """``docs`` (row, k, held, t) with the texts' words as numbers, the end last, and the words beyond the head: each
+    text's distinct ones and how often it has them."""
+    shared, kind = docs.sparkSession.sparkContext.broadcast(types), docs.schema["k"].dataType.simpleString()
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = shared.value
+        known, first, endings, end = types.known.get, types.words, types.endings, types.end
         for batch in found:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                line = [shared.value.size - 1]
-                for t in part.column(0).to_pylist():
-                    line += shared.value.of(t.lower().split())
-                    line.append(shared.value.size - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([np.array(line, np.int32).tobytes()], pa.binary())], ["line"])
-
-    return materialize(train.select(text_bytes(text)).mapInArrow(run, "line binary"), "word-numbers")
-
-
-def _summed(lines: DataFrame, of: np.ndarray, size: int, codes) -> DataFrame:
-    """code, n: how often ``codes`` of a line's numbers and of their ``of`` has each code below ``size``."""
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
+                lines, tails, counts = [], [], []
+                for t in part.column("t").to_pylist():
+                    words = t.lower().split()
+                    line, tail = list(map(known, words)), []
+                    if None in line:
+                        for i, at in enumerate(line):
+                            if at is None:
+                                line[i] = first + ending(words[i], endings)
+                                tail.append(words[i])
+                    line.append(end)
+                    tail = Counter(tail)
+                    lines.append(np.array(line, np.int32).tobytes())
+                    tails.append(END.join(tail))
+                    counts.append(np.array(list(tail.values()), np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("row", "k", "held")), *(pa.array(x, pa.binary()) for x in (lines, tails, counts))], ["row", "k", "held", "line", "tail", "tf"])
+
+    return materialize(docs.mapInArrow(run, f"row long, k {kind}, held boolean, line binary, tail binary, tf binary"), "word-numbers")
+
+
+def _summed(lines: DataFrame, of: np.ndarray, end: int, size: int, codes) -> DataFrame:
+    """code, n: how often ``codes`` of the lines' numbers and of their ``of`` has each code below ``size``. The
+    numbers of some texts stand in one run, which an end opens."""
     shared = lines.sparkSession.sparkContext.broadcast(of)
+    opening = np.array([end], np.int32).tobytes()
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in found:
-            for line in batch.column(0).to_pylist():
-                at = np.frombuffer(line, np.int32)
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
+                at = np.frombuffer(b"".join([opening, *part.column(0).to_pylist()]), np.int32)
                 np.add.at(counts, codes(at, shared.value[at]), 1)
         seen = np.flatnonzero(counts)
         for i in range(0, max(1, len(seen)), 1 << 16):
             some = seen[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["code", "n"])
 
-    return lines.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return lines.select("line").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def pairs_of(lines: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+def pairs_of(lines: DataFrame, of: np.ndarray, end: int, size: int) -> np.ndarray:
     """Counts of (``of`` a number, ``of`` the next). As many numbers, whatever the input."""
     out = np.zeros(size * size, np.int64)
-    for r in _summed(lines, of, size * size, lambda at, x: x[:-1] * size + x[1:]).collect():
-        out[r["code"]] = r["n"]
+    found = _summed(lines, of, end, size * size, lambda at, x: x[:-1] * size + x[1:]).toArrow()
+    out[found["code"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(size, size)
 
 
-def settle(lines: DataFrame, types: Types, label: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """``label`` of the types, followed by that of each remaining word of the head: the class that raises the
-    likelihood most, from the classes beside the word itself, while all others keep the classes of their types."""
+def settle(lines: DataFrame, types: Types, now: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """``now``, the class of each number, with each remaining word of the head in the class that raises the likelihood
+    most, from the classes beside the word itself, while all others keep theirs."""
     classes, first = len(grid), types.size
     wide = 2 * classes + 1  # next classes, previous classes, next to itself
-    before = label[types.base]
 
     def codes(at: np.ndarray, x: np.ndarray) -> np.ndarray:
-        i = np.flatnonzero(at >= first)  # neither a line's first place nor its last
+        i = np.flatnonzero(at >= first)  # neither a run's first place nor its last
         own = (at[i].astype(np.int64) - first) * wide
         return np.concatenate([own + x[i + 1], own + classes + x[i - 1], own[at[i] == at[i + 1]] + 2 * classes])
 
@@ -151,17 +173,16 @@ def settle(lines: DataFrame, types: Types, label: np.ndarray, grid: np.ndarray)
                 n = np.zeros(wide)
                 for x in beside:
                     n[x["slot"]] = x["n"]
-                was = before[first + word]
+                was = now[first + word]
                 gain = _gains(grid, was, n[-1], n[:classes], n[classes:-1])[0]
                 top = int(np.argmax(gain))
                 best.append(top if gain[top] > gain[was] + 1e-9 else int(was))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(best, pa.int32())], ["word", "label"])
 
-    counts = _summed(lines, before, types.rest * wide, codes)
+    counts = _summed(lines, now, types.end, types.rest * wide, codes)
     beside = F.collect_list(F.struct((F.col("code") % wide).alias("slot"), "n"))
     by_word = counts.groupBy(F.floor(F.col("code") / wide).cast("int").alias("word")).agg(beside.alias("beside"))
-    out = before.copy()
-    out[:first] = label
+    out = now.copy()
     for r in by_word.mapInArrow(run, "word int, label int").collect():
         out[first + r["word"]] = r["label"]
     return out
@@ -231,11 +252,43 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> np.
     return label
 
 
+def spelling(counts: DataFrame) -> np.ndarray:
+    """log10 of the probability of each byte after each, from the words seen once; ``END`` opens and closes a word."""
+    once = counts.where(F.col("n") == 1).where(F.col("word") != F.lit(END)).select("word")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in found:
+            x = np.frombuffer(END + END.join(batch.column(0).to_pylist()) + END, np.uint8).astype(np.int64)
+            total += np.bincount(x[:-1] << 8 | x[1:], minlength=1 << 16)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["code", "n"])
+
+    pairs = np.zeros(1 << 16)
+    for r in once.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        pairs[r["code"]] = r["n"]
+    pairs = pairs.reshape(256, 256)
+    possible = np.ones((256, 256))
+    possible[:, [0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 0
+    possible[END[0], END[0]] = pairs[END[0], END[0]] = 0  # no word is empty
+    share = (pairs + 0.5 * possible) / (pairs + 0.5 * possible).sum(axis=1, keepdims=True)
+    return np.where(possible > 0, np.log10(np.maximum(share, 1e-300)), 0.0)
+
+
+def spelled(words: list[bytes], table: np.ndarray) -> np.ndarray:
+    """log10 of each word's spelling."""
+    x = np.frombuffer(END + END.join(words) + END, np.uint8)
+    upto = np.concatenate([[0.0], np.cumsum(table[x[:-1], x[1:]])])
+    edges = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+    return upto[edges[1:]] - upto[edges[:-1]]
+
+
 class Model:
-    """What scoring needs, of a size that the input doesn't change."""
+    """What scoring needs, of a size that the input doesn't change. By number: class, log10 of the count (0 for the
+    endings, whose words are scored apart), base term, whether it is a known word."""
 
-    def __init__(self, types: Types, head: list[tuple[bytes, int]], total: int, distinct: int, label: np.ndarray, grid: np.ndarray, once: dict[int, int]):
-        self.types, self.label, classes = types, label, len(grid)
+    def __init__(self, types: Types, head: list[tuple[bytes, int]], total: int, distinct: int, label: np.ndarray, grid: np.ndarray, once: dict[int, int], spell: np.ndarray | None = None):
+        self.types, self.label, classes, self.spell = types, label, len(grid), spell
         self.total, self.base = total, np.log10(total + distinct + 1)
         share = (grid.sum(axis=0) + 1) / (grid.sum() + classes)
         self.step = np.log10((grid + SMOOTH * share) / (grid.sum(axis=1, keepdims=True) + SMOOTH))
@@ -243,8 +296,15 @@ class Model:
         for t, n in once.items():
             single[self.label[t]] += n
         self.whole, self.unseen = np.log10(tokens + single + 1), np.log10(single + 1)
-        self.head = {w: (self.label[self.types.known[w]], np.log10(n), np.log10(n + 1)) for w, n in head}
         self.of_ending = self.label[types.words : types.size - 1]
+        count = np.zeros(len(label))
+        for w, n in head:
+            count[types.known[w]] = n
+        self.known = count > 0
+        self.seen = np.log10(np.maximum(count, 1))
+        self.based = np.where(self.known, np.log10(count + 1) - self.base, 0.0)
+        if not self.known[types.end]:
+            self.seen[types.end], self.based[types.end] = self.unseen[self.label[types.end]], -self.base
 
 
 def leading_words(counts: DataFrame, size: int = HEAD) -> list[tuple[bytes, int]]:
@@ -265,20 +325,26 @@ def leading_words(counts: DataFrame, size: int = HEAD) -> list[tuple[bytes, int]
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def fit(train: DataFrame, text: str = "text", head_size: int = HEAD, words: int = WORDS, endings: int = ENDINGS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    counts = materialize(word_counts(train, text), "word-counts")
+def _rows(docs: DataFrame, fold: Column, key: Column, text: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), key.alias("k"), fold.alias("held"), text_bytes(text).alias("t"))
+
+
+def _learn(docs: DataFrame, text: str, rows: DataFrame, head_size: int, words: int, endings: int, classes: int, rounds: int, spell: bool) -> tuple[Model, DataFrame, DataFrame]:
+    """A model of the texts of ``docs``, their word counts, and ``rows`` (of which those not held are ``docs``) numbered."""
+    counts = materialize(word_counts(docs, text), "word-counts")
     whole = counts.agg(F.sum("n"), F.count("*")).first()
     head = leading_words(counts, head_size)
     ends = counts.where(F.col("word") == F.lit(END)).collect()
     types = Types(head, words, endings)
-    lines = numbered(train, types, text)
-    pairs = pairs_of(lines, types.base, types.size)
+    table = numbered(rows, types)
+    lines = table.where(~F.col("held"))
+    pairs = pairs_of(lines, types.base, types.end, types.size)
     label = exchange(pairs, classes)
     one = np.eye(classes)[label]
-    grid = one.T @ pairs @ one
-    if types.rest:
+    grid, label = one.T @ pairs @ one, label[types.base]
+    for _ in range(rounds if types.rest else 0):
         label = settle(lines, types, label, grid)
-        grid = pairs_of(lines, label, classes).astype(np.float64)
+        grid = pairs_of(lines, label, types.end, classes).astype(np.float64)
     single = counts.where("n = 1 and word != X'0A'").groupBy(ending_of(F.col("word"), endings).alias("ending")).agg(F.count("*").alias("n")).collect()
     once = {words + r["ending"]: r["n"] for r in single}
     for w, n in head:
@@ -286,70 +352,60 @@ def fit(train: DataFrame, text: str = "text", head_size: int = HEAD, words: int
             once[types.known[w]] = 1
             once[words + ending(w, endings)] -= 1
     if ends and ends[0]["n"] == 1:
-        once[types.size - 1] = 1
-    model = Model(types, head + [(END, r["n"]) for r in ends], whole[0] or 0, whole[1], label, grid, once)
-    return model, counts
+        once[types.end] = 1
+    return Model(types, head + [(END, r["n"]) for r in ends], whole[0] or 0, whole[1], label, grid, once, spelling(counts) if spell else None), counts, table
+
 
+def fit(train: DataFrame, text: str = "text", head_size: int = HEAD, words: int = WORDS, endings: int = ENDINGS, classes: int = CLASSES, rounds: int = ROUNDS, spell: bool = False) -> tuple[Model, DataFrame]:
+    rows = _rows(train, F.lit(False), F.lit(0), text)
+    return _learn(train, text, rows, head_size, words, endings, classes, rounds, spell)[:2]
 
-def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, key: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
+
+def _dealt(local: DataFrame, counts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by word with a ``salt``: frequent long words are dealt out by row, others stay at 0."""
+    hot = [r[0] for r in counts.where((F.octet_length("word") > HEAD_BYTES) & (F.col("n") * HOT_PARTS > total)).select(F.xxhash64("word")).collect()]  # fewer than HOT_PARTS
+    if not hot:
+        return local.withColumn("salt", F.lit(0)), counts.withColumn("salt", F.lit(0))
+    is_hot = F.xxhash64("word").isin(hot)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return local.withColumn("salt", F.when(is_hot, F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(F.lit(0))), counts.withColumn("salt", F.explode(salts))
+
+
+def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, key: str = "doc_id", text: str = "text", head_size: int = HEAD, words: int = WORDS, endings: int = ENDINGS, classes: int = CLASSES, rounds: int = ROUNDS, spell: bool = False) -> DataFrame:
     """Every document's fold, token counts, base score and the model's log10 probability."""
     fold = in_fold(F.col(key), modulus, held_out)
-    model, counts = fit(docs.where(~fold), text, **sizes)
+    model, counts, table = _learn(docs.where(~fold), text, _rows(docs, fold, F.col(key), text), head_size, words, endings, classes, rounds, spell)
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["row", "k", "held", "word", "tf", "n_tokens", "n_known", "base", "score", "unseen"]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        head, of_ending, step, whole, unseen = m.head, m.of_ending.tolist(), m.step, m.whole, m.unseen
-        end_class, endings = int(m.label[m.types.size - 1]), m.types.endings
-        nothing = (None, 0.0, 0.0)
+        endings, end = m.types.endings, int(m.label[m.types.end])
+        none = lambda n, kind: pa.nulls(n, kind)
         for batch in found:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                rest = {x: [] for x in ("row", "word", "tf", "unseen")}
-                own = {x: [] for x in ("n_tokens", "n_known", "base", "score", "word")}
-                for row, t in zip(part.column("row").to_pylist(), part.column("t").to_pylist(), strict=True):
-                    words = t.lower().split()
-                    words.append(END)
-                    line = [end_class]
-                    tail = []
-                    known, seen, based = 0, 0.0, 0.0
-                    for w in words:
-                        c, a, b = head.get(w, nothing)
-                        if c is None:
-                            if w == END:
-                                c, seen = end_class, seen + unseen[end_class]
-                            else:
-                                c = of_ending[zlib.crc32(w[-3:]) % endings]
-                                tail.append(w)
-                        else:
-                            known += 1
-                            seen += a
-                            based += b - m.base
-                        line.append(c)
-                    if END not in head:
-                        based -= m.base
-                    at = np.array(line)
-                    own["n_tokens"].append(len(words))
-                    own["n_known"].append(known)
-                    own["base"].append(based)
-                    own["score"].append(seen + float(step[at[:-1], at[1:]].sum() - whole[at[1:]].sum()))
-                    own["word"].append(b" " + row.to_bytes(8, "big"))
-                    for w, n in Counter(tail).items():
-                        rest["row"].append(row)
-                        rest["word"].append(w)
-                        rest["tf"].append(n)
-                        rest["unseen"].append(unseen[of_ending[zlib.crc32(w[-3:]) % endings]])
-                none = lambda n, kind: pa.nulls(n, kind)
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
+                lines, rows = part.column("line").to_pylist(), part.column("row").to_numpy()
+                sizes = np.array([len(x) // 4 for x in lines])
+                first = np.cumsum(sizes) - sizes
+                at = np.frombuffer(b"".join(lines), np.int32)
+                c = m.label[at]
+                each = m.step[np.concatenate([[end], c[:-1]]), c] - m.whole[c] + m.seen[at]
+                known, base, score = (np.add.reduceat(x, first) for x in (m.known[at].astype(np.int64), m.based[at], each))
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), part.column("held"), pa.array(own["word"], pa.binary()), none(n, pa.int32()), *(pa.array(own[x], pa.int64()) for x in ("n_tokens", "n_known")), *(pa.array(own[x], pa.float64()) for x in ("base", "score")), none(n, pa.float64())], names)
-                n = len(rest["row"])
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(rest["row"], pa.int64()), none(n, part.column("k").type), none(n, pa.bool_()), pa.array(rest["word"], pa.binary()), pa.array(rest["tf"], pa.int32()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64()), pa.array(rest["unseen"], pa.float64())], names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), fold.alias("held"), text_bytes(text).alias("t"))
-    local = rows.mapInArrow(run, f"row long, k {kind}, held boolean, word binary, tf int, n_tokens long, n_known long, base double, score double, unseen double")
-    met = local.join(counts, "word", "left")  # a document's own sums carry a word that no text has, so they spread evenly and meet nothing
+                word = pa.array([b" " + row.to_bytes(8, "big") for row in rows.tolist()], pa.binary())  # as no text has it: these rows meet nothing
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), part.column("held"), word, none(n, pa.int32()), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score), none(n, pa.float64())], names)
+                tails, tf = [x.split(END) if x else [] for x in part.column("tail").to_pylist()], b"".join(part.column("tf").to_pylist())
+                tail = [w for x in tails for w in x]
+                if n := len(tail):
+                    unseen = m.unseen[m.of_ending[np.array([ending(w, endings) for w in tail])]]
+                    if m.spell is not None:
+                        unseen = unseen + spelled(tail, m.spell)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, [len(x) for x in tails])), none(n, part.column("k").type), none(n, pa.bool_()), pa.array(tail, pa.binary()), pa.array(np.frombuffer(tf, np.int32)), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64()), pa.array(unseen)], names)
+
+    local = table.mapInArrow(run, f"row long, k {kind}, held boolean, word binary, tf int, n_tokens long, n_known long, base double, score double, unseen double")
+    local, counts = _dealt(local, counts, model.total)
+    met = local.join(counts, ["word", "salt"], "left")
     tf, n = F.col("tf"), F.coalesce("n", F.lit(0))
     part = met.select(
         "row",

@@ -16,7 +16,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brown.score(table(spark, sf_dir, "documents"))
+    return brown.score(table(spark, sf_dir, "documents"), spell=True)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

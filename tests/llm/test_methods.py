@@ -1,13 +1,18 @@
 """The methods' parts: tables, splits and postings against plain restatements; very long texts."""
 
 import random
+import zlib
+from collections import defaultdict
+from math import isclose, log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from prismgrid.llm import decontam
+from prismgrid.llm import brown, decontam
+from prismgrid.storage import materialize
 
-from .data import collected
+from .data import collected, frame, rows
 
 
 def test_wu_manber_finds_every_window():
@@ -58,3 +63,61 @@ def test_an_item_larger_than_a_block(spark):
     matcher = decontam.WuManber([("a", " ".join(words[:100_000]).encode())])
     held = sum(x.nbytes for t in matcher.tables for x in t if isinstance(x, np.ndarray)) + matcher.words.nbytes
     assert held < 40 * 100_000
+
+
+def test_spellings_are_a_distribution(spark):
+    counts = spark.createDataFrame([(b"abc", 1), (b"ab", 1), ("né".encode(), 1), (b"often", 9), (b"\n", 1)], "word binary, n long")
+    table = brown.spelling(counts)
+    allowed = [b for b in range(256) if b not in b" \t\x0b\x0c\r"]
+    assert all(isclose(sum(10 ** table[a, b] for b in allowed if a != 10 or b != 10), 1) for a in allowed)
+    by_hand = lambda w: sum(table[a, b] for a, b in zip(b"\n" + w, w + b"\n", strict=True))
+    words = [b"abc", b"x", "né".encode(), b"zzzzzz"]
+    assert np.allclose(brown.spelled(words, table), [by_hand(w) for w in words])
+    assert by_hand(b"abc") > by_hand(b"qqq")
+    assert np.isfinite(brown.spelled([b"x"], brown.spelling(counts.limit(0)))).all()
+
+
+def test_brown_pays_unknown_words_their_spelling(spark):
+    sizes = {"head_size": 40, "words": 20, "endings": 10, "classes": 8, "spell": True}
+    docs = materialize(frame(spark), "t")
+    model, counts = brown.fit(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))), **sizes)
+    n = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    number = lambda w: model.types.known.get(w, 20 + brown.ending(w, 10))
+    texts, unknown = defaultdict(set), 0
+    for d in rows():
+        texts[d[0]].add(d[1])
+    for r in [x for x in brown.score(docs, **sizes).collect() if len(texts[x["doc_id"]]) == 1]:
+        w = (next(iter(texts[r["doc_id"]])) or "").encode().lower().split() + [b"\n"]
+        c = [model.label[model.types.end], *(model.label[number(x)] for x in w)]
+        by_hand = 0.0
+        for a, b, x in zip(c, c[1:], w, strict=False):
+            word = log10(n[x]) if x in n else model.unseen[b] + sum(model.spell[u, v] for u, v in zip(b"\n" + x, x + b"\n", strict=True))
+            by_hand += model.step[a, b] + word - model.whole[b]
+            unknown += x not in n
+        assert isclose(r["score"], by_hand, abs_tol=1e-6)
+    assert unknown > 50
+
+
+def test_brown_prefers_known_words_to_gibberish(spark):
+    plain, odd = "the cat sat on the mat and the dog sat on the rug", "xq zvk wqj pfz kkq vzx qqz jxw zkp qvv wzx pqk"
+    data = [(i, plain if i % 7 else odd) for i in range(400)]
+    ids = [i for i, _ in data if zlib.crc32(str(i).encode()) % 7 == 2]
+    data = [(i, t) if i in ids else (i, plain) for i, t in data]
+    found = brown.score(spark.createDataFrame(data, "doc_id long, text string"), spell=True).where("held_out").collect()
+    each = {t: [r["score"] / r["n_tokens"] for r in found if dict(data)[r["doc_id"]] == t] for t in (plain, odd)}
+    assert each[odd] and each[plain] and max(each[odd]) < min(each[plain]) - 2
+
+
+def test_frequent_long_words_are_dealt_out_with_the_same_scores(spark, monkeypatch):
+    url = "https://example.com/" + "a" * 80
+    docs = spark.createDataFrame([(i, f"see {url} and w{i} {url}{i % 3}") for i in range(60)], "doc_id long, text string")
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    near = lambda found: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in collected(found, *names)]
+    dealt = near(brown.score(docs))
+    local = spark.createDataFrame([(i, w.encode()) for i in range(200) for w in (url, "short")], "row long, word binary")
+    counts = spark.createDataFrame([(url.encode(), 200), (b"short", 200), (b"z" * 99, 1)], "word binary, n long")
+    left, right = brown._dealt(local, counts, 5000)
+    assert {r["salt"] for r in left.where(F.octet_length("word") > 64).collect()} == set(range(brown.SALTS))
+    assert right.count() == brown.SALTS + 2 and left.join(right, ["word", "salt"]).count() == 400
+    monkeypatch.setattr(brown, "HOT_PARTS", 0)
+    assert near(brown.score(docs)) == dealt
