@@ -11,10 +11,12 @@ A suffix array of everything would need everything in one place, so texts are fi
    family with one member is unique, members equal in all the family's bytes match, and the rest is decided by a
    suffix array of the bytes beside the core (the core stands as one marker).
 4. The suffix array is built by two-stage sorting: only suffixes smaller than their successors are sorted directly,
-   the others are induced by one scan of the buckets. Neighbours whose common prefix spans a window match.
+   the others are induced by one scan of the buckets. Common prefixes of neighbours in that order are computed;
+   neighbours whose common prefix spans a window match.
 
 An anchor with more than ``GROUP`` contexts is first dealt out by the cores of its halved families, again and again,
-so no task holds an unbounded group. Texts are written once in buckets of their row number, so places and results
+so no task holds an unbounded group; contexts with over a ``1 / HOT_PARTS`` of all places (fewer than ``HOT_PARTS``)
+are broadcast to their places instead of meeting them in one task. Equality is by 128-bit digests. Texts are written once in buckets of their row number, so places and results
 meet them where they are, at every size; only lists of anchors are broadcast, up to ``SMALL_ROWS`` rows.
 
 Defined results: null text is empty; texts shorter than ``length`` are kept whole; copies inside one text count;
@@ -47,6 +49,8 @@ CHUNK = 1 << 19
 NARROW = 48
 #: Rows of two or four numbers that may be broadcast.
 SMALL_ROWS = 1_000_000
+#: What has more than one in so many rows is met by broadcast.
+HOT_PARTS = 1000
 _STRIDE = 1 << 18
 
 
@@ -88,8 +92,8 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[list[i
     return places, hashes
 
 
-def _digest(data: bytes, salt: int) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=salt.to_bytes(4, "big", signed=True)).digest(), "big", signed=True)
+def _digest(data: bytes, salt: int, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size, salt=salt.to_bytes(4, "big", signed=True)).digest()
 
 
 def two_stage(text: bytes, depth: int) -> list[int]:
@@ -121,6 +125,25 @@ def two_stage(text: bytes, depth: int) -> list[int]:
     return order
 
 
+def common_prefixes(text: bytes, order: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes, up to ``depth`` or somewhat more, that each suffix in ``order`` shares with the next one."""
+    x = np.zeros(len(text) + 16 + depth, np.uint64)
+    x[: len(text)] = np.frombuffer(text, np.uint8)
+    ends = len(text) - np.maximum(order[:-1], order[1:])
+    word = np.zeros(len(x) - 8, np.uint64)  # the eight bytes from each place on
+    for i in range(8):
+        word |= x[i : i + len(word)] << np.uint64(8 * i)
+    shared, open_ = np.zeros(max(0, len(order) - 1), np.int64), np.arange(max(0, len(order) - 1))
+    for at in range(0, depth, 8):
+        if not len(open_):
+            break
+        differ = word[np.minimum(order[open_] + at, len(word) - 1)] ^ word[np.minimum(order[open_ + 1] + at, len(word) - 1)]
+        low = differ & (~differ + np.uint64(1))  # its lowest bit
+        shared[open_] += np.where(differ == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) >> 3)
+        open_ = open_[differ == 0]
+    return np.minimum(shared, ends)
+
+
 class Piece:
     """A context: the bytes ``data`` around an anchor that ``left`` bytes precede, and the windows that match."""
 
@@ -186,18 +209,14 @@ class Matcher:
     def sort(self) -> None:
         """Decide what is queued."""
         text = b"".join(self.texts)
-        owner = [0] * len(text)
-        for k, (at, a, b, size, _) in enumerate(self.starts):
-            owner[at : at + b - a + 1] = [k + 1] * (b - a + 1)
-        before, before_at = b"", 0
-        hit = []
-        for i in two_stage(text, self.depth) if text else ():
-            if k := owner[i]:
-                window = text[i : i + self.starts[k - 1][3]]
-                if window == before:
-                    hit += [before_at, i]
-                before, before_at = window, i
-        for i in sorted(set(hit)):
+        owner = np.zeros(len(text), np.int64)
+        for k, (at, a, b, _, _) in enumerate(self.starts):
+            owner[at : at + b - a + 1] = k + 1
+        order = np.array(two_stage(text, self.depth), np.int64)
+        order = order[owner[order] > 0]
+        need = np.array([0, *(size for _, _, _, size, _ in self.starts)])[owner[order]]
+        equal = np.flatnonzero(common_prefixes(text, order, self.depth) >= need[1:])
+        for i in np.unique(order[np.concatenate([equal, equal + 1])]).tolist():
             at, a, _, _, p = self.starts[owner[i] - 1]
             j = a + i - at
             if p.found and p.found[-1][1] == j - 1 and p.found[-1][0] <= j:
@@ -229,7 +248,7 @@ def _match(length: int, chunk: int):
             rows = [(*p.name, a, b) for p in done for a, b in merged([(x, y + length) for x, y in p.found])]
             done.clear()
             columns = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names)
 
         matcher, done, group, members = Matcher(length), [], None, []
         held = 0
@@ -270,9 +289,9 @@ def _deal(length: int):
                         core = data[left + y : left + x + length]
                         cut = max(0, left + x)
                         new = data[cut : left + y + length]
-                        for name, value in zip(names, (_digest(core, x) ^ key, x, y, a, sh, left - cut, weight, new, _digest(new, left - cut)), strict=True):
+                        for name, value in zip(names, (int.from_bytes(_digest(core, x, 8), "big", signed=True) ^ key, x, y, a, sh, left - cut, weight, new, _digest(new, left - cut)), strict=True):
                             out[name].append(value)
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(out[x], k) for x, k in zip(names, kinds, strict=True)], names)
 
     return run
@@ -283,6 +302,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def _met(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``many`` joined to ``few`` by ``keys``; the keys in ``hot``, which are few and have a row each, by broadcast."""
+    hot = F.broadcast(hot)
+    return many.join(hot, keys).unionByName(many.join(hot.select(keys), keys, "left_anti").join(few.join(hot.select(keys), keys, "left_anti"), keys))
+
+
 def _places(whole: DataFrame, length: int, gram: int) -> DataFrame:
     """a, sh, row, places: each anchor of each text with a hash of its context."""
     reach, names = length - gram, ["a", "sh", "row", "places"]
@@ -290,15 +315,15 @@ def _places(whole: DataFrame, length: int, gram: int) -> DataFrame:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                seen: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+                seen: dict[tuple[int, bytes, int], list[int]] = defaultdict(list)
                 for row, text in zip(part.column("row").to_pylist(), part.column("t").to_pylist(), strict=True):
                     for p, a in zip(*anchors(text, length, gram), strict=True):
                         low = max(0, p - reach)
                         seen[a, _digest(text[low : p + length], p - low), row].append(p)
                 columns = list(zip(*seen, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(list(seen.values()), pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64()), strict=True)), pa.array(list(seen.values()), pa.list_(pa.int32()))], names)
 
-    return whole.select("row", "t").mapInArrow(run, "a long, sh long, row long, places array<int>")
+    return whole.select("row", "t").mapInArrow(run, "a long, sh binary, row long, places array<int>")
 
 
 def _contexts(whole: DataFrame, reps: DataFrame, length: int, gram: int) -> DataFrame:
@@ -315,17 +340,21 @@ def _contexts(whole: DataFrame, reps: DataFrame, length: int, gram: int) -> Data
                         low = max(0, x["place"] - reach)
                         rows.append((x["a"], -reach, 0, x["a"], x["sh"], x["place"] - low, x["weight"], text[low : x["place"] + length]))
                 columns = list(zip(*rows, strict=True)) or [[]] * 8
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     met = whole.select("row", "t").join(asked.hint("shuffle_hash"), "row")
-    return met.select("t", "asked").mapInArrow(run, "key long, low int, high int, a long, sh long, left int, weight long, data binary")
+    return met.select("t", "asked").mapInArrow(run, "key long, low int, high int, a long, sh binary, left int, weight long, data binary")
+
+
+def contexts(places: DataFrame) -> DataFrame:
+    """a, sh, weight, rep: how many places each context has, and one of them."""
+    return materialize(places.groupBy("a", "sh").agg(F.sum(F.size("places")).alias("weight"), F.min(F.struct("row", F.col("places")[0].alias("place"))).alias("rep")), "dedup-contexts")
 
 
-def matches(whole: DataFrame, places: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
+def matches(whole: DataFrame, stats: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
     """a, sh, low, high: bytes around the anchor to remove wherever this context stands."""
     reach = length - gram
-    stats = materialize(places.groupBy("a", "sh").agg(F.sum(F.size("places")).alias("weight"), F.min(F.struct("row", F.col("places")[0].alias("place"))).alias("rep")), "dedup-contexts")
     out = stats.where("weight > 1").select("a", "sh", F.lit(-reach).alias("low"), F.lit(length).alias("high"))
     several = stats.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("weight") == 1, 1)).alias("single")).where("n > 1 and single > 0")
     several = materialize(several, "dedup-anchors")
@@ -335,9 +364,11 @@ def matches(whole: DataFrame, places: DataFrame, length: int = LENGTH, gram: int
     large, keys, columns = reps.where(F.col("n") > group), ["key", "low", "high"], ready.columns
     left = None if large.isEmpty() else materialize(_contexts(whole, large, length, gram), "dedup-large")  # else two Python workers would share a task
     while left is not None:
-        dealt = materialize(left.mapInArrow(_deal(length), "key long, low int, high int, a long, sh long, left int, weight long, data binary, same long"), "dedup-dealt")
-        by = materialize(dealt.groupBy(*keys, "same").agg(F.sum("weight").alias("weight")), "dedup-families")
-        whole_match = dealt.drop("weight", "data").join(by.where("weight > 1"), [*keys, "same"])
+        dealt = materialize(left.mapInArrow(_deal(length), "key long, low int, high int, a long, sh binary, left int, weight long, data binary, same binary"), "dedup-dealt")
+        by = materialize(dealt.groupBy(*keys, "same").agg(F.sum("weight").alias("weight"), F.count("*").alias("pieces")), "dedup-families")
+        pieces = by.agg(F.sum("pieces")).first()[0] or 0
+        several_ = by.where("weight > 1").select(*keys, "same", "pieces")
+        whole_match = _met(dealt.drop("weight", "data"), several_, [*keys, "same"], several_.where(F.col("pieces") * HOT_PARTS > pieces))
         out = out.unionByName(whole_match.select("a", "sh", F.greatest(F.col("low"), -F.col("left")).alias("low"), (F.col("high") + length).alias("high")))
         open_ = by.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(F.col("weight") == 1, 1)).alias("single")).where("n > 1 and single > 0")
         open_ = materialize(open_.drop("single"), "dedup-open")
@@ -346,7 +377,7 @@ def matches(whole: DataFrame, places: DataFrame, length: int = LENGTH, gram: int
         first = materialize(first.select(*keys, "x.a", "x.sh", "x.left", "weight", "x.data", "n"), "dedup-first")
         ready = ready.unionByName(first.where(F.col("n") <= group).select(columns))
         left = None if first.where(F.col("n") > group).isEmpty() else first.where(F.col("n") > group).select(columns)
-    found = ready.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_match(length, chunk), "a long, sh long, low int, high int")
+    found = ready.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_match(length, chunk), "a long, sh binary, low int, high int")
     return out.unionByName(found)
 
 
@@ -355,8 +386,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     kind = docs.schema[key].dataType.simpleString()
     whole = materialize_by(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), text_bytes(text).alias("t")), "dedup-texts", "row")
     places = materialize(_places(whole, length, gram), "dedup-places")
-    marks = matches(whole, places, length, gram, group, chunk).groupBy("a", "sh").agg(F.collect_list(F.struct("low", "high")).alias("marks"))  # a few of each context
-    spans = places.join(marks, ["a", "sh"]).select("row", F.explode("places").alias("p"), "marks")
+    stats = contexts(places)
+    marks = matches(whole, stats, length, gram, group, chunk).groupBy("a", "sh").agg(F.collect_list(F.struct("low", "high")).alias("marks"))  # a few of each context
+    total = stats.agg(F.sum("weight")).first()[0] or 0
+    hot = stats.where((F.col("weight") > 1) & (F.col("weight") * HOT_PARTS > total)).select("a", "sh", F.array(F.struct(F.lit(gram - length).alias("low"), F.lit(length).alias("high"))).alias("marks"))
+    spans = _met(places, marks, ["a", "sh"], hot).select("row", F.explode("places").alias("p"), "marks")
     spans = spans.groupBy("row").agg(F.flatten(F.collect_list(F.transform("marks", lambda m: F.struct((m["low"] + F.col("p")).alias("a"), (m["high"] + F.col("p")).alias("b"))))).alias("spans"))
     spans = materialize(spans, "dedup-spans")
     names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]

@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismgrid.llm import brown, decontam
+from prismgrid.llm import brown, decontam, suffixdedup
 from prismgrid.storage import materialize
 
 from .data import collected, frame, rows
+from .test_operators import _removed
 
 
 def test_wu_manber_finds_every_window():
@@ -121,3 +122,21 @@ def test_frequent_long_words_are_dealt_out_with_the_same_scores(spark, monkeypat
     assert right.count() == brown.SALTS + 2 and left.join(right, ["word", "salt"]).count() == 400
     monkeypatch.setattr(brown, "HOT_PARTS", 0)
     assert near(brown.score(docs)) == dealt
+
+
+def test_common_prefixes_of_sorted_suffixes():
+    rng = random.Random(4)
+    for n in (1, 2, 9, 300):
+        text = bytes(rng.choices(b"ab", k=n))
+        order = suffixdedup.two_stage(text, 20)
+        plain = [next((k for k in range(n) if text[p + k : p + k + 1] != text[q + k : q + k + 1] or not text[p + k : p + k + 1]), n) for p, q in zip(order, order[1:], strict=False)]
+        found = suffixdedup.common_prefixes(text, np.array(order, np.int64), 20)
+        assert [min(x, 20) for x in found.tolist()] == [min(x, 20) for x in plain]
+
+
+@pytest.mark.parametrize("parts", [0, 3, 1 << 40])
+def test_suffix_dedup_however_many_contexts_count_as_hot(spark, monkeypatch, parts):
+    data = rows()
+    monkeypatch.setattr(suffixdedup, "HOT_PARTS", parts)
+    expected = sorted(((d[0], *x) for d, x in zip(data, _removed([d[1] for d in data], 60), strict=True)), key=repr)
+    assert collected(suffixdedup.dedup(frame(spark), 60, 16, 3, 2000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
