@@ -1,8 +1,15 @@
 """Token counts without materialised ids, and concatenate-and-cut packing.
 
-Both rest on one observation: a byte-level BPE never merges across pre-tokens, so a pre-token's pieces
-need computing once. ``PieceTable`` keeps that dictionary per Python worker, bounded in entries and their length;
-a longer pre-token is computed once a text.
+Both rest on one observation: a byte-level BPE never merges across pre-tokens, so a pre-token's pieces need counting
+once. Counting gathers the distinct pre-tokens of all texts, counts each one's pieces, and joins those counts to every
+document's pre-token frequencies: the ``HEAD`` most frequent by a broadcast table of bounded size, the others (each
+one rare, as more frequent ones are in that table) by a shuffled join, summed by document. A pre-token over
+``MAX_CHARS`` characters is counted where it stands. Packing needs the ids in order and keeps a dictionary of
+pre-tokens in each worker, bounded in entries and their length.
+
+Pre-tokens come from a pattern over settled Unicode ranges; text with other characters is split by the library's own
+pre-tokenizer, and special strings are cut out first, as the library does. Other files than byte-level BPE ones are
+counted by their own libraries, text by text.
 
 Defined results: null text counts as empty; an empty text has 0 tokens (packing still adds its end id);
 null ``doc_id`` and repeated rows are kept as they are; an empty table gives an empty result; other columns
@@ -24,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismgrid.llm.common import text_string
+from prismgrid.llm.common import leading, text_string
 from prismgrid.storage import materialize
 
 #: Ranges whose letters, digits and white space are the same in every Unicode version; a text with any other
-#: character takes the library's own path.
+#: character is split by the library.
 LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u048a-\u04ff"
 DIGITS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACES = r"\t\n\r\x20"
@@ -38,6 +45,10 @@ PRE_TOKEN = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGITS}]+| ?[^{SPACES}
 #: Pre-tokens remembered by a worker before the dictionary starts anew, and the most characters of one that is.
 MAX_ENTRIES = 400_000
 MAX_CHARS = 64
+#: Pre-tokens whose piece counts are broadcast, at most.
+HEAD = 150_000
+#: Distinct pre-tokens that a worker gathers before it hands them on.
+HELD = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,23 +72,36 @@ class PieceTable:
         self.split = re.compile(PRE_TOKEN).findall
         self.odd = re.compile(f"[^{SETTLED}]").search
         self.letters = list(_byte_letters().values())
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        longest_first = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        self.cut = re.compile(f"({longest_first})").split if self.special else lambda text: [text]
         self.counts: dict[str, int] = {}
         self.packed: dict[str, bytes] = {}
         self.width = "<u2" if (size := self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
         self.bytes = [i.to_bytes(int(self.width[-1]), "little") for i in range(size)]
 
-    def fast(self, text: str) -> bool:
-        return not self.odd(text) and not any(s in text for s in self.special)
+    def pre_tokens(self, text: str) -> list[str]:
+        """The pre-tokens in order; a special string is one."""
+        if not self.odd(text) and not any(s in text for s in self.special):
+            return self.split(text)
+        out = []
+        for i, part in enumerate(self.cut(text)):
+            if i % 2:
+                out.append(part)
+            elif not self.odd(part):
+                out += self.split(part)
+            else:
+                out += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+        return out
 
     def _pieces(self, token: str) -> list[int]:
+        if token in self.special:
+            return [self.special[token]]
         shown = token if token.isascii() and token.isalnum() else "".join(map(self.letters.__getitem__, token.encode()))
         return [t.id for t in self.model.tokenize(shown)]
 
     def count(self, text: str) -> int:
-        if not self.fast(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        known, frequency = self.counts, Counter(self.split(text))
+        known, frequency = self.counts, Counter(self.pre_tokens(text))
         total = 0
         for token in [t for t in frequency if t not in known]:
             n = len(self._pieces(token))
@@ -92,9 +116,7 @@ class PieceTable:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian integers of ``width``."""
-        if not self.fast(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        known, tokens, long = self.packed, self.split(text), {}
+        known, tokens, long = self.packed, self.pre_tokens(text), {}
         for token in {t for t in tokens if t not in known}:
             (known if len(token) <= MAX_CHARS else long)[token] = b"".join([self.bytes[i] for i in self._pieces(token)])
         out = b"".join([known[t] if t in known else long[t] for t in tokens] if long else map(known.__getitem__, tokens))
@@ -146,23 +168,73 @@ def count_one(path: str, text: str) -> int:
     return len(piece_table(path).tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens of every whole text.
+def pre_token_pieces(texts: DataFrame, tokenizer: str) -> DataFrame:
+    """word, n, pieces: each distinct pre-token of the column ``t``, how often it occurs and its number of pieces."""
 
-    Pieces are counted once per distinct pre-token in each worker's dictionary, which is joined by lookup to a
-    document's pre-token frequencies. The dictionary lives where the texts are, so nothing is shuffled.
-    """
-    kind = docs.schema[key].dataType.simpleString()
+    def gather(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(seen: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        table, seen = piece_table(tokenizer_path(tokenizer)), Counter()
+        for batch in found:
+            for t in batch.column(0).to_pylist():
+                seen.update(t for t in table.pre_tokens(t) if len(t) <= MAX_CHARS)
+                if len(seen) > HELD:
+                    yield made(seen)
+                    seen = Counter()
+        yield made(seen)
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = tokenizer_path(tokenizer)
+        table = piece_table(tokenizer_path(tokenizer))
         for batch in found:
-            n = pa.array([count_one(path, t) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], ["k", "b", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(table._pieces(w)) for w in batch.column(0).to_pylist()], pa.int32())], ["word", "n", "pieces"])
 
+    distinct = texts.select("t").mapInArrow(gather, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return materialize(distinct.mapInArrow(count, "word string, n long, pieces int"), "pre-tokens")
+
+
+def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, key: str = "doc_id", text: str = "text", head_size: int = HEAD) -> DataFrame:
+    """Tokens of every whole text."""
+    kind, path = docs.schema[key].dataType.simpleString(), tokenizer_path(tokenizer)
     rows = docs.select(F.col(key).alias("k"), text_string(text).alias("t"), F.octet_length(text_string(text)).cast("long").alias("b"))
-    counted = rows.mapInArrow(count, f"k {kind}, b long, n long")
-    return counted.select(F.col("k").alias(key), F.col("b").alias("n_bytes"), F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
+    named = [F.col("k").alias(key), F.col("b").alias("n_bytes"), F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit")]
+    if path.endswith(".model") or not byte_level(path):
+
+        def whole(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([count_one(tokenizer_path(tokenizer), t) for t in batch.column(1).to_pylist()], pa.int64())], ["k", "b", "n"])
+
+        return rows.mapInArrow(whole, f"k {kind}, b long, n long").select(*named)
+    pieces = pre_token_pieces(rows, tokenizer)
+    head = docs.sparkSession.sparkContext.broadcast({r["word"]: r["pieces"] for r in leading(pieces, head_size).select("word", "pieces").collect()})
+    names = ["row", "k", "b", "word", "tf", "n"]
+
+    def add(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = piece_table(tokenizer_path(tokenizer)), head.value
+        for batch in found:
+            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                totals, rest = [], {x: [] for x in ("row", "word", "tf")}
+                for row, t in zip(part.column("row").to_pylist(), part.column("t").to_pylist(), strict=True):
+                    frequency, total = Counter(table.pre_tokens(t)), 0
+                    for w in [w for w in frequency if w not in known]:
+                        n = frequency.pop(w)
+                        if len(w) > MAX_CHARS:
+                            total += n * len(table._pieces(w))
+                        else:
+                            rest["row"].append(row)
+                            rest["word"].append(w)
+                            rest["tf"].append(n)
+                    totals.append(total + sum(map(mul, map(known.__getitem__, frequency), frequency.values())))
+                n = part.num_rows
+                own = [f"{row} is no pre-token" for row in part.column("row").to_pylist()]  # has a letter after a space after a digit
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), part.column("b"), pa.array(own, pa.string()), pa.nulls(n, pa.int32()), pa.array(totals, pa.int64())], names)
+                if n := len(rest["row"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(rest["row"], pa.int64()), pa.nulls(n, part.column("k").type), pa.nulls(n, pa.int64()), pa.array(rest["word"], pa.string()), pa.array(rest["tf"], pa.int32()), pa.nulls(n, pa.int64())], names)
+
+    local = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(add, f"row long, k {kind}, b long, word string, tf int, n long")
+    met = local.join(pieces.select("word", "pieces"), "word", "left")
+    n = F.coalesce("n", F.col("tf") * F.col("pieces"))
+    return met.groupBy("row").agg(F.max("k").alias("k"), F.max("b").alias("b"), F.sum(n).alias("n")).select(*named)
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = 1024, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
