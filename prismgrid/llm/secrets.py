@@ -1,9 +1,12 @@
 """Secret scans over a trigram index, in DataFrame functions only.
 
 ``trigram_query`` derives from each regular expression a Boolean query over trigrams that every match must satisfy.
-The index holds, for each trigram that some query names, which documents contain it: one posting column a trigram,
-aligned with the rows, so a query's intersections and unions of postings are ANDs and ORs of columns and need no
-shuffle. Only candidate documents run a rule's regular expression; rules without mandatory trigrams scan fully.
+``postings`` is the inverted index: for each trigram that some query names, the keys of the documents that contain
+it, in blocks of about ``BLOCK_KEYS`` keys, so no list grows with the corpus. ``candidates`` answers the queries block
+by block with intersections and unions of those lists. Candidates meet their documents, by broadcast while there are
+at most ``SMALL_ROWS``, else in a shuffled join, and only they run a rule's regular expression; rules without
+mandatory trigrams scan fully. A key is a hash of the document's columns: documents that share one share their
+candidacy, which costs a scan and changes no result.
 
 Spans are code points, end exclusive. A kind's matches are leftmost and non-overlapping, then filtered by length.
 
@@ -19,8 +22,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from prismgrid.llm.common import text_string
+from prismgrid.storage import materialize
 
 try:
     from re import _constants as sre
@@ -70,6 +75,10 @@ EXTRA = (
 RULES = BASE + EXTRA
 #: Alternatives that the derivation follows before it lets a trigram go.
 MAX_SET = 64
+#: Keys of a block of the index, about.
+BLOCK_KEYS = 20_000
+#: Candidates (two numbers each) that may be broadcast.
+SMALL_ROWS = 1_000_000
 
 # A query is True, a trigram, or ("and" | "or", frozenset of queries).
 
@@ -170,24 +179,43 @@ def _trigrams(query: object) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(_trigrams, query[1]))
 
 
-def _posting(trigram: str, any_case: bool) -> str:
-    return f"{'i' if any_case else 'c'}_{trigram.encode().hex()}"
+def _gram(trigram: str, any_case: bool) -> str:
+    """The index's name of a trigram: some are looked for in lower-cased texts."""
+    return f"{'i' if any_case else 'c'}{trigram}"
 
 
-def _holds(query: object, any_case: bool) -> Column:
-    if query is True:
-        return F.lit(True)
+def postings(rows: DataFrame, rules: tuple[Rule, ...], blocks: int, text: str = "t") -> DataFrame:
+    """block, gram, keys: which of a block's documents contain each trigram that a rule's query names."""
+    wanted = sorted({(_gram(g, r.any_case), g, r.any_case) for r in rules for g in _trigrams(trigram_query(r))})
+    folded = F.lower(F.col(text))
+    held = F.array(*(F.when((folded if any_case else F.col(text)).contains(g), F.lit(name)) for name, g, any_case in wanted))
+    each = rows.select("key", F.explode(F.array_compact(held)).alias("gram"))
+    return each.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("key").alias("keys"))
+
+
+def _answer(query: object, any_case: bool) -> Column:
+    """The keys of a block that satisfy the query."""
     if isinstance(query, str):
-        return F.col(_posting(query, any_case))
-    parts = [_holds(q, any_case) for q in sorted(query[1], key=str)]
-    return reduce(lambda a, b: a & b if query[0] == "and" else a | b, parts)
+        return F.coalesce(F.try_element_at(F.col("lists"), F.lit(_gram(query, any_case))), F.array().cast("array<bigint>"))
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, (_answer(q, any_case) for q in sorted(query[1], key=str)))
 
 
-def index(rows: DataFrame, rules: tuple[Rule, ...], text: str = "t") -> DataFrame:
-    """``rows`` with a posting column for each trigram that a rule's query names."""
-    wanted = sorted({(_posting(g, r.any_case), g, r.any_case) for r in rules for g in _trigrams(trigram_query(r))})
-    folded = F.lower(F.col(text))
-    return rows.withColumns({name: (folded if any_case else F.col(text)).contains(g) for name, g, any_case in wanted})
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """key, rules: for each key in the index that a rule's query accepts, those rules as bits."""
+    lists = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))
+    asked = [(i, q, r.any_case) for i, r in enumerate(rules) if (q := trigram_query(r)) is not True]
+    found = F.array(*(F.struct(F.lit(1 << i).alias("rule"), _answer(q, any_case).alias("keys")) for i, q, any_case in asked))
+    each = lists.select(F.explode(found).alias("x")).select("x.rule", F.explode("x.keys").alias("key"))
+    return each.groupBy("key").agg(F.bit_or("rule").alias("rules"))
+
+
+def _marked(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` (key, t, ..) with ``rules``: the rules whose query they satisfy, null for none."""
+    if all(trigram_query(r) is True for r in rules):
+        return rows.withColumn("rules", F.lit(None).cast("int"))
+    blocks = 1 + rows.count() // BLOCK_KEYS
+    found = materialize(candidates(materialize(postings(rows, rules, blocks), "secret-postings"), rules), "secret-candidates")
+    return rows.join(F.broadcast(found) if found.count() <= SMALL_ROWS else found, "key", "left")
 
 
 _NO_SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
@@ -195,8 +223,8 @@ _NO_SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
 
 def _with_matches(rows: DataFrame, rules: tuple[Rule, ...], text: str = "t") -> DataFrame:
     """The candidates' matches m0, m1, .. and, where there are any, what lies between them and the tested groups."""
-    matches = {f"m{i}": F.when(_holds(trigram_query(r), r.any_case), F.regexp_extract_all(F.col(text), F.lit(r.regex), F.lit(0))) for i, r in enumerate(rules)}
-    rows = rows.withColumns(matches)
+    asked = lambda i, r: F.lit(True) if trigram_query(r) is True else F.col("rules").bitwiseAND(1 << i) != 0
+    rows = rows.withColumns({f"m{i}": F.when(asked(i, r), F.regexp_extract_all(F.col(text), F.lit(r.regex), F.lit(0))) for i, r in enumerate(rules)})
     more = {}
     for i, r in enumerate(rules):
         some = F.size(F.col(f"m{i}")) > 0
@@ -236,7 +264,8 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", c
     """``carry`` columns as ``c0``.. and ``t``, the text, with ``spans``: (start, order, end, kind) in their order."""
     rules = tuple(map(_fast, rules))
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), text_string(text).alias("t"))
-    indexed = _with_matches(index(rows, rules), rules)
+    hashed = [f"c{i}" for i, c in enumerate(carry) if c != text and not isinstance(docs.schema[c].dataType, MapType)]
+    indexed = _with_matches(_marked(rows.withColumn("key", F.xxhash64("t", *hashed)), rules), rules)
     each = F.array_sort(F.concat(*(_spans(r, i) for i, r in enumerate(rules))))
     return indexed.select(*(f"c{i}" for i in range(len(carry))), "t", each.alias("spans"))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismgrid.llm import brown, decontam, suffixdedup
+from prismgrid.llm import brown, decontam, secrets, suffixdedup, tokens
 from prismgrid.storage import materialize
 
 from .data import collected, frame, rows
@@ -140,3 +140,53 @@ def test_suffix_dedup_however_many_contexts_count_as_hot(spark, monkeypatch, par
     monkeypatch.setattr(suffixdedup, "HOT_PARTS", parts)
     expected = sorted(((d[0], *x) for d, x in zip(data, _removed([d[1] for d in data], 60), strict=True)), key=repr)
     assert collected(suffixdedup.dedup(frame(spark), 60, 16, 3, 2000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
+SCRIPTS = ["Γειά σου Κόσμε 12", "你好，世界 １２３", "مرحبا بالعالم", "🙂👩‍👩‍👧 ok 🇩🇪!", "<|endoftext|>é<|endoftext|><|endoftext| >", "ไทย ภาษา", "हिन्दी में", "a​b﻿ c　d", "Ⅷ ½ ²x", "x<|endoftext|>", "it's ΑΒΓ's 's’s", " \n  \n x", "\x00\x01 \x85 \x1c"]
+
+
+def test_pre_tokens_of_every_script_agree_with_the_library():
+    table = tokens.PieceTable(tokens.tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    letters = "".join(SCRIPTS)
+    for t in [*SCRIPTS, *("".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(300))]:
+        ids = table.tokenizer.encode(t, add_special_tokens=False).ids
+        assert "".join(table.pre_tokens(t)) == t
+        assert np.frombuffer(table.ids(t), table.width).tolist() == ids and table.count(t) == len(ids), t
+
+
+@pytest.mark.parametrize("head", [0, 20, 150_000])
+def test_token_counts_join_distinct_pre_tokens(spark, head):
+    data = [(i, t) for i, t in enumerate([*SCRIPTS, *(d[1] for d in rows()), *SCRIPTS])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    library = tokens.piece_table(tokens.tokenizer_path("byte_bpe_50k.json")).tokenizer
+    expected = sorted((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in data)
+    assert collected(tokens.token_counts(docs, head_size=head), "doc_id", "n_bytes", "n_tokens") == sorted(expected, key=repr)
+    pieces = tokens.pre_token_pieces(docs.select(F.coalesce("text", F.lit("")).alias("t")), "byte_bpe_50k.json").collect()
+    assert len({r["word"] for r in pieces}) == len(pieces) and max(len(r["word"]) for r in pieces) <= tokens.MAX_CHARS
+
+
+@pytest.mark.parametrize("most", [-1, secrets.SMALL_ROWS])
+def test_postings_and_their_intersections(spark, monkeypatch, most):
+    """The index lists what contains a trigram, queries leave what holds them, and the join's kind changes nothing."""
+    whole = collected(secrets.scan(frame(spark)), "doc_id", "spans")
+    monkeypatch.setattr(secrets, "BLOCK_KEYS", 7)
+    monkeypatch.setattr(secrets, "SMALL_ROWS", most)
+    assert collected(secrets.scan(frame(spark)), "doc_id", "spans") == whole and any(x[1] for x in whole)
+    extra = ["password", "assword", "gh_ AKI", "AKIA", "AKI KIA", "TOKEN", "toke ken", "eyJ", "-----BEGIN RSA PRIVATE KEY-----", ""]
+    data = [(i, t or "") for i, t in enumerate([*extra, *(d[1] for d in rows())])]
+    table = spark.createDataFrame(data, "key long, t string")
+    index = materialize(secrets.postings(table, secrets.RULES, 5), "t").collect()
+    texts = dict(data)
+    for r in index:
+        has = lambda k: r["gram"][1:] in (texts[k].lower() if r["gram"][0] == "i" else texts[k])  # noqa: E731, B023
+        assert sorted(r["keys"]) == [k for k in texts if k % 5 == r["block"] and has(k)]
+
+    def holds(q, t):
+        return q in t if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, t) for x in q[1])
+
+    found = {r["key"]: r["rules"] for r in secrets.candidates(secrets.postings(table, secrets.RULES, 5), secrets.RULES).collect()}
+    for k, t in texts.items():
+        for i, r in enumerate(secrets.RULES):
+            if (q := secrets.trigram_query(r)) is not True:
+                assert bool(found.get(k, 0) >> i & 1) == holds(q, t.lower() if r.any_case else t)
