@@ -2,14 +2,15 @@
 
 Features are hashed character n-grams and hashed word n-grams of the whole text; each has a learned vector, a
 document is the average of its features' vectors, and a softmax over two classes is trained on top by stochastic
-gradient descent in numpy. Training takes a bounded sample of labelled rows (``max_train``, chosen by hash). Since
+gradient descent in numpy. Training takes a bounded sample of labelled rows, chosen by hash: ``max_train`` rows, and of
+those the first that together have at most ``MAX_FEATURES`` table places, so the driver's share is bounded in bytes. Since
 averaging and the output layer are linear, scoring needs one number a feature: the difference of the two classes'
 products with its vector. Those numbers (2**BITS floats) are all that is sent to executors.
 
 Defined results: null text is empty; a text without features is scored by the learned bias alone; rows with a null
 doc_id are scored and never trained on; a doc_id with several labels counts as bad if any of them is; null labels
 are ignored; without a single usable label every score is 1.0 (nothing is known against a text); repeated rows are
-scored each; other columns are ignored.
+scored each and train once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ CHAR_GRAMS = (2, 3, 4)
 KINDS = len(CHAR_GRAMS) + 2
 THRESHOLD = 0.7
 MAX_TRAIN = 3000
+#: Table places of all training rows together (6 bytes each), counted at their most: one a byte and kind.
+MAX_FEATURES = 24_000_000
 #: Parts in which the training rows travel to the driver.
 PARTS = 16
 _ODD = 0x9E3779B1
@@ -81,7 +84,7 @@ def vectors_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         parts = [places[a[i] : b[i]] for places, a, b in found]
         slots, back = np.unique(np.concatenate(parts), return_inverse=True)
         each = np.concatenate([np.full(len(x), 1 / (len(parts) * max(1, len(x)))) for x in parts])
-        out.append((slots.astype(np.uint16), np.bincount(back, each, len(slots)).astype(np.float16)))
+        out.append((slots.astype(np.uint16), np.bincount(back, each, len(slots)).astype(np.float32)))
     return out
 
 
@@ -112,7 +115,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate:
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, share, label = rows[i]
-            at, share = at.astype(np.int64), share.astype(np.float32)
+            at = at.astype(np.int64)
             mean = share @ E[at] if len(at) else np.zeros(DIMENSIONS, np.float32)
             z = mean @ W + b
             p = np.exp(z - z.max())
@@ -130,28 +133,47 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate:
     return Model((E @ (W[:, 1] - W[:, 0])).astype(np.float32), float(b[1] - b[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 4, held_out: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 4, held_out: int = 2, max_features: int = MAX_FEATURES) -> Model:
     """Learn from at most ``max_train`` labelled rows outside the held-out fold, the ones with the least hashes."""
     usable = labels.where(F.col(label).isNotNull() & (crc_mod(F.col(key), modulus) != held_out))
     marked = usable.groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     marked = F.broadcast(marked.orderBy(F.xxhash64("k"), "k").limit(max_train))  # at most max_train rows of two numbers
     rows = docs.select(F.col(key).alias("k"), text_bytes(text).alias("t")).join(marked, "k")
     rows = rows.select(F.col("k").cast("string").alias("k"), "y", F.xxhash64("k").alias("a"), F.xxhash64("t").alias("b"), "t")
+    most = F.least(F.lit(KINDS) * F.octet_length("t"), F.lit(1 << BITS))
+    chosen, held = [], 0
+    for r in rows.groupBy("a", "b").agg(F.min(most).alias("n")).orderBy("a", "b").limit(max_train).collect():
+        held += r["n"]
+        if held > max_features:
+            break
+        chosen.append((r["a"], r["b"]))
+    if not chosen:
+        return train([])
+    spark = docs.sparkSession
+    rows = rows.join(F.broadcast(spark.createDataFrame(chosen, "a long, b long")), ["a", "b"])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in found:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                new = []
+                for i, name in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
+                    if name not in seen:
+                        new.append(i)
+                        seen.add(name)
+                part = part.take(pa.array(new, pa.int64()))
                 made = vectors_of(part.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k"), part.column("y").cast(pa.int32()), part.column("a"), part.column("b"), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())],
-                    ["k", "y", "a", "b", "at", "share"],
+                    [part.column("a"), part.column("b"), part.column("k"), part.column("y").cast(pa.int32()), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())],
+                    ["a", "b", "k", "y", "at", "share"],
                 )
 
-    # features are made where the texts are; whole texts never meet in one task, and the driver takes a part at a time
-    made = rows.mapInArrow(run, "k string, y int, a long, b long, at binary, share binary").orderBy("a", "b").limit(max_train)
-    made = list(materialize(made.repartition(PARTS), "classifier-rows").toLocalIterator())
+    # features are made where the texts are; neither they nor texts meet in one task, and the driver takes a part at a time
+    made = rows.select("a", "b", "k", "y", "t").mapInArrow(run, "a long, b long, k string, y int, at binary, share binary")
+    made = made.repartition(PARTS, "a", "b").dropDuplicates(["a", "b"])
+    made = list(materialize(made, "classifier-rows").toLocalIterator())
     made.sort(key=lambda r: (r["k"], bytes(r["at"]), bytes(r["share"])))
-    return train([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float16), int(r["y"] > 0)) for r in made])
+    return train([(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32), int(r["y"] > 0)) for r in made])
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 4, held_out: int = 2) -> DataFrame:

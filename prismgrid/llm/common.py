@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismgrid.storage import shared_dir
+from prismgrid.storage import scratch_path
 
 #: Spark's own limit for a bucketed table.
 MOST_BUCKETS = 100_000
+BUCKET_BYTES = 256 << 20
 
 
 def text_bytes(column: str = "text") -> Column:
@@ -58,13 +58,16 @@ def append_columns(df: DataFrame, extra: str) -> str:
 def materialize_by(df: DataFrame, label: str, key: str) -> DataFrame:
     """``df`` written to the shared folder in buckets of ``key``: one shuffle here, none of its rows in joins on ``key``.
 
-    There are as many buckets as shuffle partitions, which the session sizes to its data. The session's catalog knows
-    the table only until it is read back; its files stay.
+    There are as many buckets as shuffle partitions, and more where the plan's estimate of ``df`` would otherwise put
+    over ``BUCKET_BYTES`` into one. The session's catalog knows the table only until it is read back.
     """
     spark = df.sparkSession
-    name = f"{label}-{uuid.uuid4().hex}".replace("-", "_")
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
-    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    path = scratch_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0  # no estimate
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES), MOST_BUCKETS)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name, format="parquet")
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return found

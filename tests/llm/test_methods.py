@@ -9,11 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismgrid.llm import brown, decontam, secrets, suffixdedup, tokens
+from prismgrid.llm import brown, classifier, decontam, quality_rules, secrets, simhash, suffixdedup, tokens, urlfilter
 from prismgrid.storage import materialize
 
 from .data import collected, frame, rows
-from .test_operators import _removed
+from .test_operators import _fingerprint, _removed
 
 
 def test_wu_manber_finds_every_window():
@@ -190,3 +190,86 @@ def test_postings_and_their_intersections(spark, monkeypatch, most):
         for i, r in enumerate(secrets.RULES):
             if (q := secrets.trigram_query(r)) is not True:
                 assert bool(found.get(k, 0) >> i & 1) == holds(q, t.lower() if r.any_case else t)
+
+
+def test_classifier_steps_equal_plain_softmax_gradients():
+    """Every parameter after two epochs, against the same steps with scalar loops."""
+    rng = np.random.default_rng(6)
+    data = []
+    for i in range(12):
+        at = np.sort(rng.choice(40, rng.integers(0, 9), replace=False)).astype(np.uint16)
+        data.append((at, np.full(len(at), 1 / max(1, len(at)), np.float32), i % 2))
+    size, wide = 1 << classifier.BITS, classifier.DIMENSIONS
+    own = np.random.default_rng(7)
+    E = own.uniform(-1, 1, (size, wide)).astype(np.float32).astype(float) / wide
+    W, b = own.normal(0, 0.1, (wide, 2)).astype(np.float32).astype(float), [0.0, 0.0]
+    gE, gW, gb = defaultdict(lambda: 1e-8), [[1e-8, 1e-8] for _ in range(wide)], [1e-8, 1e-8]
+    for _ in range(2):
+        for i in own.permutation(len(data)):
+            at, share, label = data[i]
+            mean = [sum(float(s) * E[a][d] for a, s in zip(at, share, strict=True)) for d in range(wide)]
+            z = [sum(mean[d] * W[d][c] for d in range(wide)) + b[c] for c in range(2)]
+            whole = sum(np.exp(x) for x in z)
+            error = [np.exp(z[c]) / whole - (c == label) for c in range(2)]  # gradient of the cross entropy by z
+            back = [sum(W[d][c] * error[c] for c in range(2)) for d in range(wide)]
+            for c in range(2):
+                for d in range(wide):
+                    gW[d][c] += (mean[d] * error[c]) ** 2
+                    W[d][c] -= 0.2 * mean[d] * error[c] / np.sqrt(gW[d][c])
+                gb[c] += error[c] ** 2
+                b[c] -= 0.2 * error[c] / np.sqrt(gb[c])
+            norm = np.sqrt(sum(x * x for x in back))
+            for a, s in zip(at, share, strict=True):
+                gE[a] += (float(s) * norm) ** 2
+                for d in range(wide):
+                    E[a][d] -= float(s) / np.sqrt(gE[a]) * back[d]
+    model = classifier.train(data, epochs=2)
+    plain = [sum(E[a][d] * (W[d][1] - W[d][0]) for d in range(wide)) for a in range(40)]
+    assert np.allclose(model.table[:40], plain, atol=2e-3) and abs(model.bias - (b[1] - b[0])) < 2e-3
+    assert max(abs(x) for x in plain) > 0.1
+
+
+def test_classifier_training_rows_are_bounded_in_bytes_and_train_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i // 3, f"text {i // 3} of some length") for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    taken = []
+    monkeypatch.setattr(classifier, "train", lambda data, **_: taken.append(len(data)))
+    classifier.fit(docs, labels)
+    usable = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))
+    each = classifier.KINDS * len("text 10 of some length")
+    classifier.fit(docs, labels, max_features=5 * each)
+    classifier.fit(docs, labels, max_train=7)
+    assert taken[0] == usable and 4 <= taken[1] <= 5 and taken[2] == 7
+
+
+def test_very_long_texts(spark):
+    """A text of 3 MB beside short ones, through every operator, against the whole text's plain result."""
+    rng = random.Random(7)
+    vocabulary = [f"w{rng.randrange(1 << 30):x}" for _ in range(5000)]
+    long = " ".join(rng.choices(vocabulary, k=330_000)) + " password=abcdefgh " + "z" * 20_000
+    texts = [long, "short one", long[1_000_000:1_002_000], "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    words = len(long.split())
+    scored = {r["doc_id"]: r for r in brown.score(docs, spell=True).collect()}
+    assert scored[0]["n_tokens"] == words + 1 and np.isfinite(scored[0]["score"])
+    cut = collected(suffixdedup.dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans")
+    assert cut[0][:2] == (0, len(long)) and cut[0][2] == 22_000 and cut[0][3] == 2 and cut[2] == (2, 2000, 2000, 1)
+    spans = dict(collected(secrets.scan(docs), "doc_id", "spans"))
+    assert spans[0] == f"assign:{long.index('password')}:{long.index('password') + 17}"
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in classifier.judge(docs, labels).collect())
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.judge(docs).collect()}[0] == f"{_fingerprint(long):016x}"
+    library = len(tokens.piece_table(tokens.tokenizer_path("byte_bpe_50k.json")).tokenizer.encode(long, add_special_tokens=False).ids)
+    assert dict(collected(tokens.token_counts(docs), "doc_id", "n_tokens"))[0] == library
+    assert {r["doc_id"]: r["doc_tokens"] for r in tokens.pack(docs).collect()}[0] == library + 1
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.judge(docs).collect()}[0] == words
+    items = spark.createDataFrame([(1, long), (2, "short one")], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.judge(docs, items).collect()}
+    assert found[0] == (len(decontam.words_of(long.encode())),) * 2 + (1,) and found[1] == (2, 2, 1)
+
+
+def test_long_urls(spark):
+    long = "https://www.example.com/en/" + "a/" * 200_000 + "?q=" + "b" * 100_000
+    pages = spark.createDataFrame([(1, long, ""), (2, "https://" + "h" * 100_000 + ".net/es/x", "")], "page_id long, url string, html string")
+    found = collected(urlfilter.judge(pages), "page_id", "host", "path", "rule", "verdict")
+    assert found == [(1, "www.example.com", "/en/" + "a/" * 200_000, "www.example.com/en/", "allow"), (2, "h" * 100_000 + ".net", "/es/x", "net/es/", "block")]
