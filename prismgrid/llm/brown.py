@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismgrid.llm.common import in_fold, text_bytes
+from prismgrid.llm.common import in_fold, leading, text_bytes
 from prismgrid.storage import materialize
 
 #: Stands for the end of a text; no word has white space.
@@ -52,6 +52,8 @@ HELD = 300_000
 #: A longer word with more than one in so many tokens is dealt out, to so many places.
 HOT_PARTS = 1000
 SALTS = 64
+#: Most tasks that add up counts.
+PARTS = 48
 #: Texts that a worker takes together.
 SLICE = 256
 
@@ -96,6 +98,7 @@ class Types:
         self.rest, self.end = len(rest), self.size - 1
         self.known = {w: i for i, (w, _) in enumerate(head[:words])} | {w: self.size + i for i, w in enumerate(rest)} | {END: self.end}
         self.base = np.concatenate([np.arange(self.size), [words + ending(w, endings) for w in rest]]).astype(np.int64)
+        self.width = "<u2" if len(self.base) <= 1 << 16 else "<i4"
 
 
 def numbered(docs: DataFrame, types: Types) -> DataFrame:
@@ -119,7 +122,7 @@ def numbered(docs: DataFrame, types: Types) -> DataFrame:
                                 tail.append(words[i])
                     line.append(end)
                     tail = Counter(tail)
-                    lines.append(np.array(line, np.int32).tobytes())
+                    lines.append(np.array(line, types.width).tobytes())
                     tails.append(END.join(tail))
                     counts.append(np.array(list(tail.values()), np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("row", "k", "held")), *(pa.array(x, pa.binary()) for x in (lines, tails, counts))], ["row", "k", "held", "line", "tail", "tf"])
@@ -127,38 +130,57 @@ def numbered(docs: DataFrame, types: Types) -> DataFrame:
     return materialize(docs.mapInArrow(run, f"row long, k {kind}, held boolean, line binary, tail binary, tf binary"), "word-numbers")
 
 
-def _summed(lines: DataFrame, of: np.ndarray, end: int, size: int, codes) -> DataFrame:
-    """code, n: how often ``codes`` of the lines' numbers and of their ``of`` has each code below ``size``. The
-    numbers of some texts stand in one run, which an end opens."""
+def _summed(lines: DataFrame, types: Types, of: np.ndarray, size: int, chunk: int, codes, finish, schema: str) -> DataFrame:
+    """``finish`` of each ``chunk`` of codes below ``size``: of its number and how often ``codes`` of the lines' numbers
+    and of their ``of`` has each code. The numbers of some texts stand in one run, which an end opens.
+
+    A task packs its counts by chunk, so it sends as many rows as there are chunks; they are added up as they arrive.
+    """
     shared = lines.sparkSession.sparkContext.broadcast(of)
-    opening = np.array([end], np.int32).tobytes()
+    width, end = types.width, types.end
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, opening = np.zeros(size, np.int64), np.array([end], width).tobytes()
         for batch in found:
             for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
-                at = np.frombuffer(b"".join([opening, *part.column(0).to_pylist()]), np.int32)
+                at = np.frombuffer(b"".join([opening, *part.column(0).to_pylist()]), width).astype(np.int32)
                 np.add.at(counts, codes(at, shared.value[at]), 1)
-        seen = np.flatnonzero(counts)
-        for i in range(0, max(1, len(seen)), 1 << 16):
-            some = seen[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["code", "n"])
+        for i in range(0, size, chunk):
+            if (some := counts[i : i + chunk]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // chunk], pa.int32()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], ["chunk", "n"])
 
-    return lines.select("line").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def add(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in found:
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if i != at:
+                    if at is not None:
+                        yield finish(at, total)
+                    at, total = i, np.zeros(min(chunk, size - i * chunk), np.int64)
+                total += np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
+        if at is not None:
+            yield finish(at, total)
 
+    return lines.select("line").mapInArrow(count, "chunk int, n binary").repartition(min(PARTS, -(-size // chunk)), "chunk").sortWithinPartitions("chunk").mapInArrow(add, schema)
 
-def pairs_of(lines: DataFrame, of: np.ndarray, end: int, size: int) -> np.ndarray:
+
+def pairs_of(lines: DataFrame, types: Types, of: np.ndarray, size: int) -> np.ndarray:
     """Counts of (``of`` a number, ``of`` the next). As many numbers, whatever the input."""
-    out = np.zeros(size * size, np.int64)
-    found = _summed(lines, of, end, size * size, lambda at, x: x[:-1] * size + x[1:]).toArrow()
-    out[found["code"].to_numpy()] = found["n"].to_numpy()
+
+    def finish(i: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "n"])
+
+    out, chunk = np.zeros(size * size, np.int64), 1 << 16
+    for r in _summed(lines, types, of, size * size, chunk, lambda at, x: x[:-1] * size + x[1:], finish, "chunk int, n binary").toLocalIterator():
+        n = np.frombuffer(r["n"], np.int64)
+        out[r["chunk"] * chunk : r["chunk"] * chunk + len(n)] = n
     return out.reshape(size, size)
 
 
 def settle(lines: DataFrame, types: Types, now: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """``now``, the class of each number, with each remaining word of the head in the class that raises the likelihood
     most, from the classes beside the word itself, while all others keep theirs."""
-    classes, first = len(grid), types.size
+    classes, first, together = len(grid), types.size, 256
     wide = 2 * classes + 1  # next classes, previous classes, next to itself
 
     def codes(at: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -166,24 +188,17 @@ def settle(lines: DataFrame, types: Types, now: np.ndarray, grid: np.ndarray) ->
         own = (at[i].astype(np.int64) - first) * wide
         return np.concatenate([own + x[i + 1], own + classes + x[i - 1], own[at[i] == at[i + 1]] + 2 * classes])
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            ids, best = batch.column(0).to_pylist(), []
-            for word, beside in zip(ids, batch.column(1).to_pylist(), strict=True):
-                n = np.zeros(wide)
-                for x in beside:
-                    n[x["slot"]] = x["n"]
-                was = now[first + word]
-                gain = _gains(grid, was, n[-1], n[:classes], n[classes:-1])[0]
-                top = int(np.argmax(gain))
-                best.append(top if gain[top] > gain[was] + 1e-9 else int(was))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(best, pa.int32())], ["word", "label"])
-
-    counts = _summed(lines, now, types.end, types.rest * wide, codes)
-    beside = F.collect_list(F.struct((F.col("code") % wide).alias("slot"), "n"))
-    by_word = counts.groupBy(F.floor(F.col("code") / wide).cast("int").alias("word")).agg(beside.alias("beside"))
+    def finish(i: int, total: np.ndarray) -> pa.RecordBatch:
+        best = []
+        for word, n in enumerate(total.reshape(-1, wide).astype(np.float64)):
+            was = now[first + i * together + word]
+            gain = _gains(grid, was, n[-1], n[:classes], n[classes:-1])[0]
+            top = int(np.argmax(gain))
+            best.append(top if gain[top] > gain[was] + 1e-9 else int(was))
+        return pa.RecordBatch.from_arrays([pa.array(range(i * together, i * together + len(best)), pa.int32()), pa.array(best, pa.int32())], ["word", "label"])
+
     out = now.copy()
-    for r in by_word.mapInArrow(run, "word int, label int").collect():
+    for r in _summed(lines, types, now, types.rest * wide, together * wide, codes, finish, "word int, label int").collect():
         out[first + r["word"]] = r["label"]
     return out
 
@@ -308,20 +323,9 @@ class Model:
 
 
 def leading_words(counts: DataFrame, size: int = HEAD) -> list[tuple[bytes, int]]:
-    """At most ``size`` of the most frequent words of bounded length, most frequent first.
-
-    A histogram of the counts (steps of about 3 %) gives the least count that so many words reach; only those words
-    are collected, where a distributed top-k would send ``size`` words from every partition.
-    """
-    words = counts.where((F.octet_length("word") <= HEAD_BYTES) & (F.col("word") != F.lit(END))).withColumn("step", F.floor(F.log(F.col("n")) * 32))
-    taken, least = 0, None
-    for r in sorted(words.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
-        if taken + r["words"] > size:
-            break
-        taken, least = taken + r["words"], r["step"]
-    if least is None:
-        return []
-    found = [(bytes(r["word"]), r["n"]) for r in words.where(F.col("step") >= least).select("word", "n").collect()]
+    """At most ``size`` of the most frequent words of bounded length, most frequent first."""
+    words = counts.where((F.octet_length("word") <= HEAD_BYTES) & (F.col("word") != F.lit(END)))
+    found = [(bytes(r["word"]), r["n"]) for r in leading(words, size).select("word", "n").collect()]
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
@@ -338,13 +342,13 @@ def _learn(docs: DataFrame, text: str, rows: DataFrame, head_size: int, words: i
     types = Types(head, words, endings)
     table = numbered(rows, types)
     lines = table.where(~F.col("held"))
-    pairs = pairs_of(lines, types.base, types.end, types.size)
+    pairs = pairs_of(lines, types, types.base, types.size)
     label = exchange(pairs, classes)
     one = np.eye(classes)[label]
     grid, label = one.T @ pairs @ one, label[types.base]
     for _ in range(rounds if types.rest else 0):
         label = settle(lines, types, label, grid)
-        grid = pairs_of(lines, label, types.end, classes).astype(np.float64)
+        grid = pairs_of(lines, types, label, classes).astype(np.float64)
     single = counts.where("n = 1 and word != X'0A'").groupBy(ending_of(F.col("word"), endings).alias("ending")).agg(F.count("*").alias("n")).collect()
     once = {words + r["ending"]: r["n"] for r in single}
     for w, n in head:
@@ -386,9 +390,10 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, key: str = "doc_
         for batch in found:
             for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
                 lines, rows = part.column("line").to_pylist(), part.column("row").to_numpy()
-                sizes = np.array([len(x) // 4 for x in lines])
+                wide = np.dtype(m.types.width).itemsize
+                sizes = np.array([len(x) // wide for x in lines])
                 first = np.cumsum(sizes) - sizes
-                at = np.frombuffer(b"".join(lines), np.int32)
+                at = np.frombuffer(b"".join(lines), m.types.width)
                 c = m.label[at]
                 each = m.step[np.concatenate([[end], c[:-1]]), c] - m.whole[c] + m.seen[at]
                 known, base, score = (np.add.reduceat(x, first) for x in (m.known[at].astype(np.int64), m.based[at], each))
