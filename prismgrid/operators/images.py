@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: The BT.601 luma weights.
@@ -80,7 +82,8 @@ def on_black(channel: Column, alpha: Column) -> Column:
 
 def mask_images(images: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
     """Each image with its background black. ``model()`` is called once a task and returns (h, w, 3) bytes -> (h, w)
-    alpha. A failing image yields its error and doesn't stop the others. Columns: origin, data, error."""
+    alpha. A failing image yields its error and doesn't stop the others. Columns: origin, height, width, data (blue,
+    green, red), error."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alpha_of = model()
@@ -95,10 +98,37 @@ def mask_images(images: DataFrame, model: Callable[[], Callable[[np.ndarray], np
                 except Exception as e:  # noqa: BLE001  one bad image is a row, not a failure
                     data.append(None)
                     error.append(str(e)[:200])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(error, pa.string())], ["origin", "data", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column("origin"), batch.column("height"), batch.column("width"), pa.array(data, pa.binary()), pa.array(error, pa.string())], ["origin", "height", "width", "data", "error"])
 
     rows = images.select("image.origin", "image.height", "image.width", "image.data")
-    return rows.mapInArrow(run, "origin string, data binary, error string")
+    return rows.mapInArrow(run, "origin string, height int, width int, data binary, error string")
+
+
+def png(bgr: np.ndarray) -> bytes:
+    """An 8-bit (h, w, 3) image as a PNG file."""
+    h, w, _ = bgr.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), bgr[..., ::-1].astype(np.uint8).reshape(h, w * 3)], axis=1)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def encoded(masked: DataFrame, version: int) -> DataFrame:
+    """path and content of the masked images as PNG files of a new version of their folder; the originals stay, and
+    failed images have none."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for x in batch.to_pylist():
+                name = x["origin"].rpartition("/")[2].rpartition(".")[0]
+                content = png(np.frombuffer(x["data"], np.uint8).reshape(x["height"], x["width"], 3))
+                yield pa.RecordBatch.from_arrays([pa.array([f"masked/v{version}/{name}.png"]), pa.array([content], pa.binary())], ["path", "content"])
+
+    return masked.where(F.col("error").isNull()).select("origin", "height", "width", "data").mapInArrow(run, "path string, content binary")
+
+
+def observed(masked: DataFrame, progress: Observation) -> DataFrame:
+    """``masked``, whose next action fills ``progress`` with the counts of masked and failed images."""
+    return masked.observe(progress, F.count_if(F.col("error").isNull()).alias("masked"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
 def mask_counts(masked: DataFrame) -> DataFrame:

@@ -49,3 +49,13 @@ def listing(files: DataFrame, suffixes: tuple[str, ...], path: str = "path") ->
 def nonempty(requests: DataFrame, files: str = "files") -> DataFrame:
     """Requests that hold at least one file; the others do nothing."""
     return requests.where(F.size(files) > 0)
+
+
+def new_jobs(requests: DataFrame) -> DataFrame:
+    """Each request with a fresh job id and where its status is asked for."""
+    return requests.withColumn("job_id", F.uuid()).withColumn("status_url", F.concat(F.lit("/jobs/"), F.col("job_id"), F.lit("/status")))
+
+
+def each_file(requests: DataFrame, files: str = "files") -> DataFrame:
+    """A row for each file of a request, numbered from 0 in the request's order."""
+    return requests.select(*(c for c in requests.columns if c != files), F.posexplode(files).alias("file_idx", "filename"))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TURNTABLE = "turntable"
@@ -25,6 +24,7 @@ STAGES = (
 PLACES = {"database": "/database.db", "images": "/images", "sparse": "/sparse", "model": "/sparse/0", "dense": "/dense", "fused": "/dense/fused.ply"}
 #: A stage is skipped where its artifact exists.
 ARTIFACT = {"feature_extractor": "database", "mapper": "sparse"}
+#: Fixed value: a smaller dense cloud counts as empty.
 MIN_DENSE_BYTES = 5000
 
 
@@ -96,12 +96,3 @@ def run_stages(plan: DataFrame, runner: Callable[[str, str, list[str]], tuple[bo
         return pd.DataFrame(out, columns=["job_id", "stage_no", "stage", "ok", "rc", "stderr"])
 
     return plan.groupBy("job_id").applyInPandas(run, f"job_id {plan.schema['job_id'].dataType.simpleString()}, stage_no int, stage string, ok boolean, rc int, stderr string")
-
-
-def first_available(*candidates: Column) -> Column:
-    """The fallback chain: the first candidate that exists."""
-    return reduce(lambda a, b: F.coalesce(a, b), candidates)
-
-
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")

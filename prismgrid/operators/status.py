@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The statuses that end polling.
 TERMINAL = ("Completed", "Failed", "Cancelled")
 #: The steps shown, in order.
 HUD = ("Video Processing", "Masking", "Meshing", "AI Analysis")
@@ -27,9 +28,13 @@ def effective(log: DataFrame, strict: bool = False, job: str = "job_id") -> Data
 
 
 def current(log: DataFrame, strict: bool = False, job: str = "job_id") -> DataFrame:
-    """Each job's current state: its latest effective write, never the furthest progress."""
-    newest = Window.partitionBy(job).orderBy(F.desc("seq"))
-    return effective(log, strict, job).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """Each job's current state: its latest effective write, never the furthest progress. One aggregation with partial
+    results: the last U or C write and the last write decide it, or with ``strict`` the last C write."""
+    row, seq, cls = F.struct(*log.columns), F.col("seq"), F.col("cls")
+    last = lambda kept: F.max_by(F.when(kept, row), F.when(kept, seq))
+    found = log.groupBy(F.col(job).alias("_job")).agg(F.max_by(row, seq).alias("_any"), last(cls == "C" if strict else cls.isin("U", "C")).alias("_set"))
+    state = F.when(F.col("_set.cls") == "C", F.col("_set")).otherwise(F.col("_any"))
+    return found.select(state.alias("_state")).select("_state.*")
 
 
 def lost_cancels(log: DataFrame, job: str = "job_id") -> DataFrame:
@@ -98,14 +103,47 @@ RUN = (
 )
 
 
+#: The message of each step; of the two writes of the last step the first one's is "Done.".
+MESSAGES = {
+    "Initializing": "Uploading files...",
+    "Video Processing": "Extracting frames...",
+    "Matching": "Matching video frames...",
+    "Sparse Reconstruction": "Building sparse model...",
+    "Undistorting": "Undistorting images...",
+    "Depth Maps": "Calculating depth maps...",
+    "Point Fusion": "Fusing points...",
+    "Fallback": "Dense failed. Using Sparse model...",
+    "Meshing": "Generating textured mesh...",
+    "Completed": "Ready to View.",
+}
+DONE = "Done."
+#: Messages that depend on the mode.
+MASKING = ("AI removing backgrounds...", "Handheld mode enabled...")
+
+
+def message_of(cls: str, step: str, mode: Column) -> Column:
+    if step == "Feature Extraction":
+        return F.concat(F.lit("Extracting ("), mode, F.lit(")..."))
+    if step == "Masking":
+        return F.when(mode == "turntable", MASKING[0]).otherwise(MASKING[1])
+    return F.lit(DONE if (cls, step) == ("U", "Completed") else MESSAGES[step])
+
+
 def emitted(jobs: DataFrame) -> DataFrame:
-    """The writes of a full run of each job (job_id, database, sparse, dense_empty): stages whose artifact exists are
-    silent, and the fallback speaks only where the dense cloud is empty."""
-    each = F.array(*(F.struct(F.lit(c).alias("cls"), F.lit(s).alias("status"), F.lit(step).alias("step"), F.lit(p).alias("progress")) for c, s, step, p in RUN))
-    rows = jobs.select("*", F.posexplode(each).alias("place", "w")).select(*jobs.columns, "place", "w.*")
-    silent = ((F.col("step") == "Feature Extraction") & F.col("database")) | ((F.col("step") == "Sparse Reconstruction") & F.col("sparse")) | ((F.col("step") == "Fallback") & ~F.col("dense_empty"))
-    order = Window.partitionBy("job_id").orderBy("place")
-    return rows.where(~silent).withColumn("seq", F.row_number().over(order) - 1).select("job_id", "seq", "cls", "status", "step", "progress")
+    """The writes of a full run of each job (job_id, database, sparse, dense_empty, and scan_mode, else a turntable's):
+    stages whose artifact exists are silent, and the fallback speaks only where the dense cloud is empty. A job's
+    writes come from its own row, so nothing is shuffled."""
+    mode = F.coalesce(F.col("scan_mode"), F.lit("turntable")) if "scan_mode" in jobs.columns else F.lit("turntable")
+    each = F.array(*(F.struct(F.lit(c).alias("cls"), F.lit(s).alias("status"), F.lit(step).alias("step"), F.lit(p).alias("progress"), message_of(c, step, mode).alias("message")) for c, s, step, p in RUN))
+    silent = lambda w: ((w["step"] == "Feature Extraction") & F.col("database")) | ((w["step"] == "Sparse Reconstruction") & F.col("sparse")) | ((w["step"] == "Fallback") & ~F.col("dense_empty"))
+    rows = jobs.select("job_id", F.posexplode(F.filter(each, lambda w: ~silent(w))).alias("seq", "w"))
+    return rows.select("job_id", "seq", "w.*")
+
+
+def bodies(state: DataFrame) -> DataFrame:
+    """job_id and the status file's text; absent fields are left out."""
+    fields = [c for c in ("status", "step", "progress", "message", "timestamp") if c in state.columns]
+    return state.select("job_id", F.to_json(F.struct(*fields)).alias("body"))
 
 
 def failures(results: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismgrid.operators import frames, geometry, images, knn, routing, stages, status
-from prismgrid.plans import standins
+from prismgrid.operators import frames, geometry, images, knn, meshing, routing, stages, status
+from prismgrid.plans import files, standins
 from prismgrid.sources import media, ply
-from prismgrid.storage import importable, shared_dir, table
+from prismgrid.storage import importable, materialize, scratch_path, table
 from prismgrid.streaming import status as stream
 
 DIGITS = 6
@@ -195,6 +193,13 @@ def status_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log read as a stream; the last state emitted for each job equals the batch answer."""
     importable(spark)
+    out = spark.read.parquet(stream.run_available(stream.current_states(stream_writes(spark, sf_dir))))
+    newest = Window.partitionBy("job_id").orderBy(F.desc("batch"))
+    return out.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("job_id", "seq", "status", "step", "progress")
+
+
+def stream_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of status writes."""
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     kind = F.col("event_type")
@@ -202,17 +207,14 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(kind == "error", "Cancelled").when(kind == "purchase", "Completed").otherwise("Processing")
     step = F.when(kind == "view", "Video Processing").when(kind == "click", "Masking").when(kind == "signup", "Meshing").when(kind == "purchase", "Completed")
     progress = F.when(kind != "error", F.pmod(F.floor("value").cast("int"), F.lit(101)))
-    writes = source.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), cls.alias("cls"), state.alias("status"), step.alias("step"), progress.alias("progress"))
-    out = spark.read.parquet(stream.run_available(stream.current_states(writes)))
-    newest = Window.partitionBy("job_id").orderBy(F.desc("batch"))
-    return out.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("job_id", "seq", "status", "step", "progress")
+    return source.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), cls.alias("cls"), state.alias("status"), step.alias("step"), progress.alias("progress"))
 
 
 def ply_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points written by the "ply" sink and read back by its source."""
     importable(spark)
     ply.register(spark)
-    path = f"{shared_dir(spark)}/cloud-{uuid.uuid4().hex}.ply"
+    path = scratch_path(spark, "cloud") + ".ply"
     standins.points(spark, sf_dir).select("x", "y", "z").write.format("ply").mode("append").save(path)
     return rounded(spark.read.format("ply").load(path).select("x", "y", "z"), "x", "y", "z", digits=9)
 
@@ -225,7 +227,7 @@ def file_metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a full run of each job would write, by the artifacts that it has."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_totalprice") < 100000).alias("database"), (F.col("o_orderkey") % 7 == 0).alias("sparse"), (F.col("o_orderkey") % 5 == 0).alias("dense_empty"))
-    return status.emitted(rows)
+    return status.emitted(rows).drop("message")
 
 
 def running_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,11 +240,95 @@ def elapsed_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", status.elapsed_minutes(F.lit(0.0), F.floor(F.col("value")) * 60).alias("minutes"))
 
 
+
+def video_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.listing(standins.uploads(spark, sf_dir), routing.VIDEO, "filename").select("job_id", "file_idx", "filename")
+
+
+def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that hold their files' names, taken apart again."""
+    held = F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "filename"))), lambda x: x["filename"])
+    requests = standins.uploads(spark, sf_dir).groupBy(F.col("job_id").alias("request_id")).agg(held.alias("files"))
+    return routing.each_file(requests)
+
+
+def new_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each customer: whether the id has its form, the address names it, and how many jobs have it."""
+    made = materialize(routing.new_jobs(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"))), "new-jobs")
+    uses = made.groupBy("job_id").agg(F.count("*").alias("uses"))
+    form = F.col("job_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return made.join(uses, "job_id").select("request_id", form.alias("well_formed"), (F.col("status_url") == F.concat(F.lit("/jobs/"), "job_id", F.lit("/status"))).alias("own_url"), "uses")
+
+
+def nonempty_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests and their orders as files; those without orders do nothing."""
+    files = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("files"))
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")).join(files, "job_id", "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
+    return routing.nonempty(requests).select("job_id", F.size("files").cast("long").alias("files"))
+
+
+def failed_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("order "), F.col("o_orderkey")))
+    return status.failures(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), error.alias("error")))
+
+
+def stage_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users read while a full run of each job goes on."""
+    mode = F.when(F.col("o_orderstatus") == "F", "turntable").otherwise("handheld")
+    no = F.lit(False)
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), no.alias("database"), no.alias("sparse"), F.lit(True).alias("dense_empty"), mode.alias("scan_mode"))
+    return status.emitted(jobs).select("job_id", "step", "message")
+
+
+def status_json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.bodies(status.current(standins.status_log(spark, sf_dir)))
+
+
+def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage of every job by an injected runner, which fails one stage of most jobs."""
+    importable(spark)
+    run = lambda job, stage, args: (job % 10 != ORDER[stage], int(job % 10 == ORDER[stage]), "")
+    return stages.run_stages(stages.stage_plan(standins.jobs(spark, sf_dir)), run).drop("stderr")
+
+
+ORDER = {name: i for i, (name, _) in enumerate(stages.STAGES)}
+
+
+def mesh_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clouds meshed by an injected backend, which takes the first four points and fails on every third cloud; the
+    others keep their raw points."""
+    importable(spark)
+
+    def backend(rows):
+        if rows["cloud_id"].iloc[0] % 3 == 0:
+            raise RuntimeError("no surface")
+        return rows.sort_values("point_id").head(4).assign(vertex_id=lambda r: r["point_id"], density=1.0)
+
+    points = standins.clouds(spark, sf_dir)
+    found = meshing.with_fallback(points, meshing.reconstruct(points, backend, least=8))
+    return found.groupBy("cloud_id", "origin").agg(F.count("*").alias("points"))
+
+
+def status_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log polled every second; each change is handed on, and the last one handed on counts."""
+    importable(spark)
+    base = scratch_path(spark, "poll")
+    writes = stream_writes(spark, sf_dir)
+    query = stream.poll(stream.current_states(writes), lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}"), f"{base}/checkpoint", 1)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    newest = F.max_by(F.struct("seq", "status"), "batch").alias("x")
+    return spark.read.parquet(f"{base}/rows").groupBy("job_id").agg(newest).select("job_id", "x.seq", "x.status")
+
+
 ALL = (
     run_writes, running_jobs, elapsed_minutes,
     frame_stride_sample, frame_sharpness_filter, frame_fallback_append, multi_video_numbering, job_frame_totals, laplacian_sharpness, grayscale_luma,
     alpha_composite, upload_routing, upload_last_wins, client_video_detection, image_listing, mode_params, stage_plan, stage_skip, sequential_pairs,
     largest_submodel, dense_or_sparse, cloud_min_points, outlier_removal, cloud_centroid, outward_normals, density_trim, color_transfer_nn, cleanup_chain,
     rotate_points, mesh_vertex_normals, job_status_current, job_status_strict, job_status_response, hud_steps, cancel_lost, cancel_requests,
-    status_json_parse, status_stream, ply_roundtrip, file_metadata_scan,
+    status_json_parse, status_stream, ply_roundtrip, file_metadata_scan, video_listing, request_files, new_jobs, nonempty_uploads, failed_writes,
+    stage_messages, status_json_bodies, stage_runs, mesh_fallback, status_poll, *files.ALL,
 )

@@ -7,6 +7,7 @@ import math
 from prismgrid.operators.stages import PLACES, STAGES
 from prismgrid.operators.status import HUD, RUN
 from prismgrid.plans.catalogue import MAX_DISTANCE
+from prismgrid.plans.files import FILE_ORACLES
 from prismgrid.plans.standins import SUFFIXES
 
 FRAMES = """
@@ -42,7 +43,7 @@ state AS (
 )
 POINTS = """
 points AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, abs(embedding[4]::DOUBLE) AS r, abs(embedding[5]::DOUBLE) AS g, abs(embedding[6]::DOUBLE) AS b FROM embeddings),
-vertices AS (SELECT vec_id AS vertex_id, embedding[1]::DOUBLE * 1.5 AS x, embedding[2]::DOUBLE * 1.5 AS y, embedding[3]::DOUBLE * 1.5 AS z, embedding[7]::DOUBLE AS density FROM embeddings WHERE vec_id % 5 = 0)"""
+vertices AS (SELECT vec_id AS vertex_id, embedding[1]::DOUBLE * 1.5 AS x, embedding[2]::DOUBLE * 1.5 AS y, embedding[3]::DOUBLE * 1.5 AS z, embedding[7]::DOUBLE AS density FROM embeddings)"""
 CLOUDS = "clouds AS (SELECT (label * 10 + vec_id % 7)::BIGINT AS cloud_id, vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
 CLEAN = (
     POINTS
@@ -123,7 +124,7 @@ SELECT job_id, cloud, coalesce(mesh, cloud) AS model, CASE WHEN coalesce(mesh, c
     "color_transfer_nn": f"WITH {POINTS}, {_nearest('points', 'vertices')} SELECT vertex_id, point_id, {_round('r', 'g', 'b')} FROM colored",
     "cleanup_chain": f"WITH {CLEAN}, {_normals('clean')}, mesh AS (SELECT * FROM vertices WHERE density >= (SELECT quantile_cont(density, 0.01) FROM vertices)), {_nearest('clean', 'mesh')} SELECT vertex_id, point_id, {_round('r', 'g', 'b', 'nx', 'ny', 'nz')} FROM colored JOIN normals USING (point_id) WHERE (SELECT count(*) FROM points) >= 10",
     "rotate_points": f"WITH {POINTS}, turned AS (SELECT point_id, x * {math.cos(0.005)!r}::DOUBLE - z * {math.sin(0.005)!r}::DOUBLE AS x, x * {math.sin(0.005)!r}::DOUBLE + z * {math.cos(0.005)!r}::DOUBLE AS z FROM points) SELECT point_id, {_round('x', 'z')} FROM turned",
-    "mesh_vertex_normals": f"""WITH {POINTS}, faces AS (SELECT vec_id AS v0, vec_id + 5 AS v1, vec_id + 10 AS v2 FROM embeddings WHERE vec_id % 5 = 0),
+    "mesh_vertex_normals": f"""WITH {POINTS}, faces AS (SELECT vec_id AS v0, vec_id + 1 AS v1, vec_id + 2 AS v2 FROM embeddings),
 edges AS (SELECT v0, v1, v2, b.x-a.x AS ux, b.y-a.y AS uy, b.z-a.z AS uz, c.x-a.x AS wx, c.y-a.y AS wy, c.z-a.z AS wz FROM faces JOIN vertices a ON a.vertex_id = v0 JOIN vertices b ON b.vertex_id = v1 JOIN vertices c ON c.vertex_id = v2),
 crossed AS (SELECT unnest([v0, v1, v2]) AS vertex_id, uy*wz - uz*wy AS fx, uz*wx - ux*wz AS fy, ux*wy - uy*wx AS fz FROM edges),
 total AS (SELECT vertex_id, sum(fx) AS sx, sum(fy) AS sy, sum(fz) AS sz FROM crossed GROUP BY 1),
@@ -141,5 +142,17 @@ CASE WHEN event_id % 5 = 4 THEN event_type END AS step, CASE WHEN event_id % 5 =
     "run_writes": f"WITH run(place, cls, status, step, progress) AS (VALUES {', '.join(f'({i}, {c!r}, {t!r}, {step!r}, {p})' for i, (c, t, step, p) in enumerate(RUN))}) SELECT o_orderkey AS job_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY place) - 1 AS seq, cls, status, step, progress FROM orders, run WHERE NOT (step = 'Feature Extraction' AND o_totalprice < 100000) AND NOT (step = 'Sparse Reconstruction' AND o_orderkey % 7 = 0) AND NOT (step = 'Fallback' AND o_orderkey % 5 <> 0)",
     "running_jobs": f"WITH {STATE} SELECT c_custkey AS job_id FROM customer WHERE c_custkey NOT IN (SELECT job_id FROM state WHERE status = 'Cancelled')",
     "elapsed_minutes": "SELECT event_id, printf('%.1f', floor(value)) AS minutes FROM events",
+    "video_listing": f"WITH {UPLOADS} SELECT job_id, file_idx, filename FROM uploads WHERE regexp_matches(lower(filename), '\\.(mp4|mov|avi|mkv)$')",
+    "request_files": f"WITH {UPLOADS} SELECT job_id AS request_id, filename, row_number() OVER (PARTITION BY job_id ORDER BY file_idx) - 1 AS file_idx FROM uploads",
+    "new_jobs": "SELECT c_custkey AS request_id, true AS well_formed, true AS own_url, 1 AS uses FROM customer",
+    "nonempty_uploads": "SELECT c_custkey AS job_id, count(*) AS files FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+    "failed_writes": "SELECT o_orderkey AS job_id, 'G' AS cls, 'Failed' AS status, 'Failed' AS step, 0 AS progress, 'order ' || o_orderkey AS message FROM orders WHERE o_orderstatus = 'F'",
+    "stage_messages": """SELECT o_orderkey AS job_id, step, m AS message FROM orders, (VALUES ('Initializing', 'Uploading files...'), ('Video Processing', 'Extracting frames...'), ('Masking', NULL), ('Feature Extraction', NULL), ('Matching', 'Matching video frames...'), ('Sparse Reconstruction', 'Building sparse model...'), ('Undistorting', 'Undistorting images...'), ('Depth Maps', 'Calculating depth maps...'), ('Point Fusion', 'Fusing points...'), ('Fallback', 'Dense failed. Using Sparse model...'), ('Completed', 'Done.'), ('Meshing', 'Generating textured mesh...'), ('Completed', 'Ready to View.')) v(step, text),
+LATERAL (SELECT CASE WHEN step = 'Masking' THEN CASE WHEN o_orderstatus = 'F' THEN 'AI removing backgrounds...' ELSE 'Handheld mode enabled...' END WHEN step = 'Feature Extraction' THEN 'Extracting (' || CASE WHEN o_orderstatus = 'F' THEN 'turntable' ELSE 'handheld' END || ')...' ELSE text END AS m)""",
+    "status_json_bodies": f"WITH {STATE} SELECT job_id, '{{\"status\":\"' || status || '\"' || coalesce(',\"step\":\"' || step || '\"', '') || coalesce(',\"progress\":' || progress, '') || '}}' AS body FROM state",
+    "stage_runs": f"WITH {_plan()} SELECT job_id, stage_no, stage, job_id % 10 <> stage_no AS ok, CASE WHEN job_id % 10 = stage_no THEN 1 ELSE 0 END AS rc FROM plan",
+    "mesh_fallback": f"WITH {CLOUDS}, sized AS (SELECT *, count(*) OVER (PARTITION BY cloud_id) AS n, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) AS k FROM clouds) SELECT cloud_id, CASE WHEN n >= 8 AND cloud_id % 3 <> 0 THEN 'mesh' ELSE 'raw' END AS origin, count(*) AS points FROM sized WHERE NOT (n >= 8 AND cloud_id % 3 <> 0 AND k > 4) GROUP BY ALL",
+    "status_poll": f"WITH {STATE} SELECT job_id, seq, status FROM state",
     "ply_roundtrip": f"WITH {POINTS} SELECT {_round('x', 'y', 'z', digits=9)} FROM points",
 }
+ORACLES |= FILE_ORACLES

@@ -43,16 +43,16 @@ def clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth embedding, moved outwards by a half, with its seventh element as density."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0")
+    """embeddings moved outwards by a half, with their seventh element as density."""
+    rows = table(spark, sf_dir, "embeddings")
     return rows.select(F.lit(0).alias("cloud_id"), F.lit(0).alias("mesh_id"), F.col("vec_id").alias("vertex_id"), *((_e(i) * 1.5).alias(c) for i, c in enumerate("xyz")), _e(6).alias("density"))
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strip of triangles over every fifth embedding."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select("vec_id")
+    """A strip of triangles over the embeddings."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id")
     third = rows.withColumnRenamed("vec_id", "v0")
-    made = third.select(F.lit(0).alias("mesh_id"), F.col("v0").alias("face_id"), "v0", (F.col("v0") + 5).alias("v1"), (F.col("v0") + 10).alias("v2"))
+    made = third.select(F.lit(0).alias("mesh_id"), F.col("v0").alias("face_id"), "v0", (F.col("v0") + 1).alias("v1"), (F.col("v0") + 2).alias("v2"))
     return made.join(rows.select(F.col("vec_id").alias("v2")), "v2", "left_semi")
 
 
