@@ -187,9 +187,9 @@ def _gram(trigram: str, any_case: bool) -> str:
 def postings(rows: DataFrame, rules: tuple[Rule, ...], blocks: int, text: str = "t") -> DataFrame:
     """block, gram, keys: which of a block's documents contain each trigram that a rule's query names."""
     wanted = sorted({(_gram(g, r.any_case), g, r.any_case) for r in rules for g in _trigrams(trigram_query(r))})
-    folded = F.lower(F.col(text))
-    held = F.array(*(F.when((folded if any_case else F.col(text)).contains(g), F.lit(name)) for name, g, any_case in wanted))
-    each = rows.select("key", F.explode(F.array_compact(held)).alias("gram"))
+    texts = rows.select("key", F.col(text).alias("c"), F.lower(F.col(text)).alias("i"))  # lower-cased once
+    held = F.array(*(F.when(F.col("i" if any_case else "c").contains(g), F.lit(name)) for name, g, any_case in wanted))
+    each = texts.select("key", F.explode(F.array_compact(held)).alias("gram"))
     return each.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("key").alias("keys"))
 
 
