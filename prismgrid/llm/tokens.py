@@ -18,6 +18,8 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import re
 import zlib
@@ -76,7 +78,7 @@ class PieceTable:
         longest_first = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
         self.cut = re.compile(f"({longest_first})").split if self.special else lambda text: [text]
         self.counts: dict[str, int] = {}
-        self.packed: dict[str, bytes] = {}
+        self.packed = Packed(self)
         self.width = "<u2" if (size := self.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
         self.bytes = [i.to_bytes(int(self.width[-1]), "little") for i in range(size)]
 
@@ -97,7 +99,8 @@ class PieceTable:
     def _pieces(self, token: str) -> list[int]:
         if token in self.special:
             return [self.special[token]]
-        shown = token if token.isascii() and token.isalnum() else "".join(map(self.letters.__getitem__, token.encode()))
+        first, rest = (self.letters[0x20], token[1:]) if token[:1] == " " else ("", token)
+        shown = first + rest if rest.isascii() and rest.isalnum() else "".join(map(self.letters.__getitem__, token.encode()))
         return [t.id for t in self.model.tokenize(shown)]
 
     def count(self, text: str) -> int:
@@ -116,15 +119,37 @@ class PieceTable:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian integers of ``width``."""
-        known, tokens, long = self.packed, self.pre_tokens(text), {}
-        for token in {t for t in tokens if t not in known}:
-            (known if len(token) <= MAX_CHARS else long)[token] = b"".join([self.bytes[i] for i in self._pieces(token)])
-        out = b"".join([known[t] if t in known else long[t] for t in tokens] if long else map(known.__getitem__, tokens))
-        if len(known) > MAX_ENTRIES:
-            known.clear()
+        out = b"".join(map(self.packed.__getitem__, self.pre_tokens(text)))
+        if len(self.packed) > MAX_ENTRIES:
+            self.packed.clear()
         return out
 
 
+class Packed(dict):
+    """Ids of each pre-token met so far, made as it is asked for; long ones aren't remembered."""
+
+    def __init__(self, table: PieceTable):
+        self.table = table
+
+    def __missing__(self, token: str) -> bytes:
+        out = b"".join([self.table.bytes[i] for i in self.table._pieces(token)])
+        if len(token) <= MAX_CHARS:
+            self[token] = out
+        return out
+
+
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without searches for reference cycles, which would go through the table again and again and find none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=2)
 def piece_table(path: str) -> PieceTable:
     return PieceTable(path)
@@ -254,7 +279,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = 10
         end, wide = np.array([end_id], table.width).tobytes(), np.dtype(table.width).itemsize
         for batch in found:
             for part_batch in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                ids = [table.ids(t) + end for t in part_batch.column(1).to_pylist()]
+                with uncollected():
+                    ids = [table.ids(t) + end for t in part_batch.column(1).to_pylist()]
                 n = np.array([len(x) // wide for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
