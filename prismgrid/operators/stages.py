@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,10 +90,13 @@ def final_artifact(jobs: DataFrame, min_dense: int = MIN_DENSE_BYTES) -> DataFra
 
 def run_stages(plan: DataFrame, runner: Callable[[str, str, list[str]], tuple[bool, int, str]]) -> DataFrame:
     """Run the injected ``runner(job, stage, args)`` in stage order for each job; results are rows, failures too."""
-    import pandas as pd
+    names = ["job_id", "stage_no", "stage", "ok", "rc", "stderr"]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(key[0], int(r.stage_no), r.stage, *runner(key[0], r.stage, list(r.args))) for r in rows.sort_values("stage_no").itertuples()]
-        return pd.DataFrame(out, columns=["job_id", "stage_no", "stage", "ok", "rc", "stderr"])
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            jobs, plans, args = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok, rc, stderr = zip(*(runner(j, s, list(a)) for j, s, a in zip(jobs, plans, args, strict=True)), strict=True) if jobs else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_()), pa.array(rc, pa.int32()), pa.array(stderr, pa.string())], names)
 
-    return plan.groupBy("job_id").applyInPandas(run, f"job_id {plan.schema['job_id'].dataType.simpleString()}, stage_no int, stage string, ok boolean, rc int, stderr string")
+    rows = plan.select("job_id", F.col("stage_no").cast("int").alias("stage_no"), "stage", "args").repartition("job_id").sortWithinPartitions("job_id", "stage_no")
+    return rows.mapInArrow(run, f"job_id {plan.schema['job_id'].dataType.simpleString()}, stage_no int, stage string, ok boolean, rc int, stderr string")
