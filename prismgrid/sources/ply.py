@@ -15,9 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Property types of the format.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
@@ -62,23 +63,32 @@ def parse_header(data: bytes) -> Header:
     return Header(binary, count, fields, size)
 
 
-def parse_rows(header: Header, data: bytes, first: int, last: int) -> Iterator[tuple]:
-    """(point_id, columns..) of rows first..last; ``data`` begins at row ``first``. A truncated file raises."""
+def parse_columns(header: Header, data: bytes, first: int, last: int) -> list[pa.Array]:
+    """``COLUMNS`` of rows first..last, nulls where the file has none; ``data`` begins at row ``first``, or at the first
+    row of an ASCII file. A truncated file raises."""
+    n = last - first
     if header.binary:
-        wide = header.dtype.itemsize
-        if len(data) < (last - first) * wide:
+        if len(data) < n * header.dtype.itemsize:
             raise ValueError("truncated PLY file")
-        rows = np.frombuffer(data, header.dtype, last - first)
-        columns = [rows[c].astype(float).tolist() if c in rows.dtype.names else [None] * len(rows) for c in COLUMNS]
-        yield from zip(range(first, last), *columns, strict=True)
-        return
-    place = {n: i for i, (n, _) in enumerate(header.fields)}
-    lines = data.split(b"\n")
-    if len([x for x in lines if x.strip()]) < last - first:
-        raise ValueError("truncated PLY file")
-    for i, line in zip(range(first, last), lines, strict=False):
-        words = line.split()
-        yield (i, *(float(words[place[c]]) if c in place else None for c in COLUMNS))
+        rows = np.frombuffer(data, header.dtype, n)
+        found = {c: rows[c].astype(np.float64) for c in rows.dtype.names or ()}
+    else:
+        lines = data.split(b"\n")
+        if len([x for x in lines if x.strip()]) < n:
+            raise ValueError("truncated PLY file")
+        words = [line.split() for line in lines[first:last]]
+        found = {name: np.array([float(w[i]) for w in words]) for i, (name, _) in enumerate(header.fields) if name in COLUMNS}
+    return [pa.array(found[c], pa.float64()) if c in found else pa.nulls(n, pa.float64()) for c in COLUMNS]
+
+
+def parse_rows(header: Header, data: bytes, first: int, last: int) -> Iterator[tuple]:
+    """The same as tuples (point_id, columns..)."""
+    yield from zip(range(first, last), *(c.to_pylist() for c in parse_columns(header, data, first, last)), strict=True)
+
+
+def batch_of(path: str, header: Header, data: bytes, first: int, last: int) -> pa.RecordBatch:
+    ids = pa.array(np.arange(first, last, dtype=np.int64))
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path), last - first), ids, *parse_columns(header, data, first, last)], SCHEMA.names)
 
 
 @dataclass
@@ -102,14 +112,13 @@ class PlyReader(DataSourceReader):
             out += [Rows(f, i, min(header.count, i + step)) for i in range(0, header.count, step)]
         return out
 
-    def read(self, partition: Rows) -> Iterator[tuple]:
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         with open(partition.path, "rb") as h:
             header = parse_header(h.read(1 << 16))
             wide = header.dtype.itemsize if header.binary else 0
             h.seek(header.size + partition.first * wide)
             data = h.read((partition.last - partition.first) * wide) if header.binary else h.read()
-        for row in parse_rows(header, data, partition.first, partition.last):
-            yield (partition.path, *row)
+        yield batch_of(partition.path, header, data, partition.first, partition.last)
 
 
 @dataclass
@@ -119,7 +128,7 @@ class Part(WriterCommitMessage):
     faces: int = 0
 
 
-class PlyWriter(DataSourceWriter):
+class PlyWriter(DataSourceArrowWriter):
     """Rows with x, y, z and, if there, normals and colours, as doubles. Rows with v0, v1, v2 instead are faces: they
     follow all vertices, which they name by their place in partition order (see ``save_mesh``)."""
 
@@ -129,20 +138,28 @@ class PlyWriter(DataSourceWriter):
         if not {"x", "y", "z"} <= set(self.names):
             raise ValueError("x, y and z are needed")
 
-    def write(self, rows: Iterator) -> Part:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         path, count, faces = f"{self.path}.part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, 0
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
         with open(path, "wb") as h, open(f"{path}.faces", "wb") as f:
-            for row in rows:
-                if self.mesh and row["v0"] is not None:
-                    f.write(b"\3" + np.array([row["v0"], row["v1"], row["v2"]], "<i4").tobytes())
-                    faces += 1
-                else:
-                    h.write(np.array([float("nan") if row[c] is None else row[c] for c in self.names], "<f8").tobytes())
-                    count += 1
+            for batch in iterator:
+                if self.mesh:
+                    marked = batch.column("v0").is_valid()
+                    corners = batch.filter(marked)
+                    made = np.empty(corners.num_rows, [("n", "u1"), ("v", "<i4", 3)])
+                    made["n"] = 3
+                    for i in range(3):
+                        made["v"][:, i] = corners.column(f"v{i}").to_numpy(zero_copy_only=False)
+                    f.write(made.tobytes())
+                    faces += len(made)
+                    batch = batch.filter(pc.invert(marked))
+                # nulls become NaN
+                columns = [batch.column(c).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False) for c in self.names]
+                h.write(np.stack(columns, axis=1).astype("<f8").tobytes())
+                count += batch.num_rows
         return Part(path, count, faces)
 
     def commit(self, messages: list) -> None:
@@ -195,11 +212,10 @@ def scan_ply(spark: SparkSession, path: str) -> DataFrame:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     header = parse_header(data)
-                    rows = list(parse_rows(header, data[header.size :], 0, header.count))
+                    made = batch_of(path, header, data[header.size :], 0, header.count)
                 except (ValueError, IndexError):
                     continue
-                columns = list(zip(*rows, strict=True)) or [[]] * (len(COLUMNS) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], SCHEMA.names)
+                yield made
 
     return files.mapInArrow(run, SCHEMA)
 
