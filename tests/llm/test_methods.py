@@ -142,6 +142,16 @@ def test_suffix_dedup_however_many_contexts_count_as_hot(spark, monkeypatch, par
     assert collected(suffixdedup.dedup(frame(spark), 60, 16, 3, 2000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+def test_suffix_dedup_counts_bytes_not_words(spark):
+    """Passages of 57 words or more in two texts: 400 bytes are removed, 399 stay."""
+    rng = random.Random(6)
+    passages = [" ".join(f"{rng.randrange(1 << 20):06x}" for _ in range(60))[:n] for n in (399, 400)]
+    assert all(len(p.split()) > 56 and len(p) == n for p, n in zip(passages, (399, 400), strict=True))
+    texts = [f"{i} before {i}{p}{i} after {i}" for i, p in enumerate(p for p in passages for _ in range(2))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert collected(suffixdedup.dedup(docs), "doc_id", "n_removed", "n_spans") == [(0, 0, 0), (1, 0, 0), (2, 400, 1), (3, 400, 1)]
+
+
 SCRIPTS = ["Γειά σου Κόσμε 12", "你好，世界 １２３", "مرحبا بالعالم", "🙂👩‍👩‍👧 ok 🇩🇪!", "<|endoftext|>é<|endoftext|><|endoftext| >", "ไทย ภาษา", "हिन्दी में", "a​b﻿ c　d", "Ⅷ ½ ²x", "x<|endoftext|>", "it's ΑΒΓ's 's’s", " \n  \n x", "\x00\x01 \x85 \x1c"]
 
 
